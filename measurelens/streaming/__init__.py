@@ -1,0 +1,4 @@
+"""Kept empty on purpose: none of the covered features reads a stream.
+
+Time enters only as an integer year; see ``operators.splits.time_safe``.
+"""
