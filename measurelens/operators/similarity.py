@@ -34,14 +34,19 @@ def tanimoto(common: Column, size_a: Column, size_b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(common.cast("double") / union)
 
 
-def collapse_sets(df: DataFrame, *, tokens: str) -> DataFrame:
-    """Add ``set_key`` (a fingerprint of the sorted tokens) and ``size``.
+def token_codes(tokens: Column | str) -> Column:
+    """A set as sorted distinct 64-bit codes of its tokens.
 
-    Two independent 64-bit hashes and the size make a collision implausible.
+    Spark compares arrays of longs through hash tables, arrays of text pair by
+    pair.  Two different tokens share a code with probability 2^-64.
     """
-    ordered = F.array_sort(F.array_distinct(tokens))
-    text = F.array_join(ordered, "\x1f")
-    return df.withColumn("_set", ordered).withColumn("size", F.size("_set")).withColumn("set_key", F.sha2(text, 256)).drop(tokens).withColumnRenamed("_set", tokens)
+    return F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))))
+
+
+def collapse_sets(df: DataFrame, *, tokens: str) -> DataFrame:
+    """Code the tokens and add ``size`` and ``set_key``, a fingerprint of the set."""
+    coded = df.withColumn(tokens, token_codes(tokens)).withColumn("size", F.size(tokens))
+    return coded.withColumn("set_key", F.sha2(F.array_join(F.transform(tokens, lambda c: c.cast("string")), ","), 256))
 
 
 def part_signatures(sets: DataFrame, t: float, tokens: str) -> DataFrame:
@@ -60,7 +65,7 @@ def part_signatures(sets: DataFrame, t: float, tokens: str) -> DataFrame:
     rows = sets.where(F.col("size") > 0).select("set_key", "size", F.col(tokens).alias("_t"), F.explode(F.array(own, own + 1)).alias("tag"))
     top = F.ceil(F.pow(F.lit(1.0 / t), F.col("tag") + 1) - 1e-9)
     rows = rows.withColumn("parts", (F.floor(F.lit(2.0 * (1.0 - t) / (1.0 + t)) * top + 1e-9) + 1).cast("int"))
-    tagged = F.transform("_t", lambda tok: F.struct(F.pmod(F.xxhash64(tok), F.col("parts")).cast("int").alias("p"), F.xxhash64(F.lit(7), tok).alias("h")))
+    tagged = F.transform("_t", lambda tok: F.struct(F.pmod(tok, F.col("parts")).cast("int").alias("p"), F.xxhash64(tok).alias("h")))
     every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("p"), F.lit(None).cast("long").alias("h")))
     items = rows.select("set_key", "size", "tag", F.explode(F.concat(tagged, every)).alias("i"))
     signed = items.groupBy("set_key", "size", "tag", F.col("i.p").alias("p")).agg(F.bit_xor("i.h").alias("x"), F.count("i.h").alias("c"))
@@ -87,7 +92,7 @@ def ranked_tokens(sets: DataFrame, tokens: str) -> DataFrame:
 def prefix_signatures(sets: DataFrame, t: float, tokens: str) -> DataFrame:
     ranked = ranked_tokens(sets, tokens)
     need = F.ceil(F.lit(t) * F.col("size") - 1e-9)
-    return ranked.where(F.col("pos") <= F.col("size") - need + 1).select("set_key", "size", F.lit(0).alias("tag"), F.col("pos").alias("p"), F.xxhash64("tok").alias("sig"))
+    return ranked.where(F.col("pos") <= F.col("size") - need + 1).select("set_key", "size", F.col("tok").alias("sig"))
 
 
 def candidate_pairs(signatures: DataFrame, t: float, join_on: Sequence[str]) -> DataFrame:
@@ -274,8 +279,8 @@ def nearest_neighbours(queries: DataFrame, reference: DataFrame, *, tokens: str,
     is early in both token orders.  The bound only saves work; the second pass
     is complete for whatever bound it gets.
     """
-    q = queries.select(F.col("id").cast("string").alias("q"), F.array_distinct(tokens).alias("qt")).withColumn("qn", F.size("qt"))
-    r = reference.select(F.col("id").cast("string").alias("r"), F.array_distinct(tokens).alias("rt")).withColumn("rn", F.size("rt"))
+    q = queries.select(F.col("id").cast("string").alias("q"), token_codes(tokens).alias("qt")).withColumn("qn", F.size("qt"))
+    r = reference.select(F.col("id").cast("string").alias("r"), token_codes(tokens).alias("rt")).withColumn("rn", F.size("rt"))
     df = r.select(F.explode("rt").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     rare = lambda who: Window.partitionBy(who).orderBy(F.coalesce("df", F.lit(0)), "tok")
     q_tok = q.select("q", "qn", F.explode("qt").alias("tok")).join(df, "tok", "left").withColumn("qpos", F.row_number().over(rare("q")))

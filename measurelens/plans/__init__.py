@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("curation", "grouping")
+_MODULES = ("curation", "grouping", "panels", "landscape")
 
 
 def load():

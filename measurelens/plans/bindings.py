@@ -102,18 +102,19 @@ E = f"""e AS (
 
 
 def token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct lower-case words of every document, with a synthetic value."""
+    """Lower-case words of every document (copies count once), with a synthetic value."""
     docs = table(spark, sf_dir, "documents")
-    words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")), lambda w: w != "")
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     value = F.lit(4.5) + F.pmod(F.col("doc_id") * 37, F.lit(50)) / F.lit(10.0)
     return docs.select(F.col("doc_id").cast("string").alias("id"), words.alias("tokens"), value.alias("v"))
 
 
 def word_pair_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct neighbouring word pairs: a second definition of similarity."""
+    """Neighbouring word pairs: a second definition of similarity."""
     docs = table(spark, sf_dir, "documents")
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    pairs = F.array_distinct(F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(F.col("w"), i + 1))))
+    but_last = lambda skip: F.slice("w", skip, F.greatest(F.size("w") - 1, F.lit(0)))
+    pairs = F.zip_with(but_last(1), but_last(2), lambda x, y: F.concat(x, F.lit(" "), y))
     value = F.lit(4.5) + F.pmod(F.col("doc_id") * 37, F.lit(50)) / F.lit(10.0)
     return docs.select("doc_id", words.alias("w")).select(F.col("doc_id").cast("string").alias("id"), pairs.alias("tokens"), value.alias("v"))
 
