@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +15,26 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.join(F.broadcast(one_row))
 
 
+def shared_folder(spark) -> str:
+    """The folder named in spark.checkpoint.dir; a temporary one only where unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a frame that several branches read, and read it back.
+
+    A written table survives lost executors, cuts the lineage, and lets every
+    branch read its own columns instead of computing the frame again.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/measurelens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_elements(a: Column, b: Column) -> Column:
     """Whether two sets share an element; empty or null sets share nothing."""
     return F.coalesce(F.arrays_overlap(a, b), F.lit(False))

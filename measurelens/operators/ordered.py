@@ -64,22 +64,45 @@ def prefix_sums(df: DataFrame, value: Column | str, sums: Mapping[str, Column],
     )
 
 
+# A group with more rows than this goes through running totals.  There are at
+# most (rows / HOT_ROWS) such groups, which bounds the broadcast list of them.
+HOT_ROWS = 1_000_000
+
+
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: Column | str,
     probs: Mapping[str, float],
     *,
-    weight: Column | None = None,
     method: str = "linear",
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per group: ``keys`` and one column per name in ``probs``.
 
     ``method`` is "linear" (interpolate) or "higher" (an observed value).
+
+    Groups of moderate size use Spark's exact percentile, one shuffle.  Groups
+    with more than ``hot_rows`` rows would fill one task's memory; they are
+    found by a count and go through running totals over value buckets.  When
+    there are none, adaptive execution drops that branch.
     """
     keys = list(keys)
-    weight = F.lit(1).cast("long") if weight is None else weight
-    ranked = prefix_sums(df, value, {"n": weight}, keys)
+    v = F.col("v")
+    rows = df.select(*keys, (F.col(value) if isinstance(value, str) else value).cast("double").alias("v")).where(usable(v))
+    if not keys or method != "linear":
+        return _bucketed_quantiles(rows, keys, probs, method)
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    hot = F.broadcast(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys))
+    cold = rows.join(hot, keys, "left_anti").groupBy(*keys).agg(F.percentile(v, list(probs.values())).alias("_q"))
+    cold = cold.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
+    return cold.unionByName(_bucketed_quantiles(rows.join(hot, keys, "left_semi"), keys, probs, method))
+
+
+def _bucketed_quantiles(rows: DataFrame, keys: list[str], probs: Mapping[str, float], method: str) -> DataFrame:
+    ranked = prefix_sums(rows, "v", {"n": F.lit(1).cast("long")}, keys)
     hit, out = F.lit(False), []
     aggs = []
     for i, (name, p) in enumerate(probs.items()):
@@ -96,8 +119,7 @@ def quantiles(
             F.max(position - low if method == "linear" else F.lit(0.0)).alias(f"_f{i}"),
         ]
         out.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(name))
-    picked = ranked.where(hit)
-    picked = picked.groupBy(*keys).agg(*aggs) if keys else picked.agg(*aggs)
+    picked = ranked.where(hit).groupBy(*keys).agg(*aggs)
     return picked.select(*keys, *out)
 
 

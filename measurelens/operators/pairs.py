@@ -209,6 +209,15 @@ def disjoint_counts(pairs: DataFrame, keys: Sequence[str], *, scope: Sequence[st
     return kept.groupBy(*keys).agg(F.sum("taken").alias("disjoint_pairs"))
 
 
+def pair_votes(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One effect per entity pair: the median over its assays.
+
+    A pair has one row per assay context it was measured in, so the exact
+    median of a group holds no more values than there are assay contexts.
+    """
+    return pairs.groupBy(*keys, "id_from", "id_to").agg(F.median("delta").alias("effect"))
+
+
 def interpretation(delta: Column, agreement: Column, conflict: Column, threshold: Column | float) -> Column:
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     mixed = (F.abs(delta) < t) | (agreement < 0.8) | conflict
@@ -222,7 +231,7 @@ def effect_statistics(pairs: DataFrame, keys: Sequence[str], *, threshold: Colum
     """
     keys, scope = list(keys), list(scope)
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    votes = quantiles(pairs, [*keys, "id_from", "id_to"], "delta", {"effect": 0.5})
+    votes = pair_votes(pairs, keys)
     middle = quantiles(votes, keys, "effect", {"median_delta": 0.5, "q25_delta": 0.25, "q75_delta": 0.75})
     counts = votes.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("supporting_pairs"), F.count_if(F.col("effect") > 0).alias("positive_pairs"), F.count_if(F.col("effect") < 0).alias("negative_pairs")
@@ -317,14 +326,14 @@ def directed_evidence(pairs: DataFrame, parents: DataFrame) -> DataFrame:
 def candidate_effects(directed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Support and median effect per proposed replacement."""
     keys = list(keys)
-    votes = quantiles(directed, [*keys, "id_from", "id_to"], "delta", {"effect": 0.5})
+    votes = pair_votes(directed, keys)
     base = votes.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("effect") > 0).alias("positive"), F.count_if(F.col("effect") < 0).alias("negative"))
     return base.join(quantiles(votes, keys, "effect", {"median_effect": 0.5}), keys)
 
 
 def pair_conflicts(candidates: DataFrame, evidence: DataFrame, *, candidate: str, predicted: str) -> DataFrame:
     """Per candidate: measured pairs whose effect opposes the predicted sign."""
-    votes = quantiles(evidence, [candidate, "id_from", "id_to"], "delta", {"effect": 0.5})
+    votes = pair_votes(evidence, [candidate])
     joined = candidates.join(votes, candidate, "left")
     p = F.col(predicted)
     opposing = ((p > 1e-8) & (F.col("effect") < -1e-8)) | ((p < -1e-8) & (F.col("effect") > 1e-8))

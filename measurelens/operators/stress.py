@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from measurelens.operators.common import first_k
+from measurelens.operators.common import first_k, settle
 from measurelens.operators.ordered import quantiles
 from measurelens.operators.pairs import CLAIM, block_pairs, effect_statistics
 
@@ -159,10 +159,11 @@ def omission_checks(
         kept, plans = kept.unionByName(rows), plans.unionByName(options)
     base = body.withColumn("test", F.lit("Baseline")).withColumn("omitted", F.lit("None"))
     plans = plans.unionByName(base.select(*keys, "omitted", "test").distinct())
-    stats = effect_statistics(kept.unionByName(base), [*keys, "test", "omitted"], threshold=threshold)
+    kept, plans = settle(kept.unionByName(base)), settle(plans)
+    stats = effect_statistics(kept, [*keys, "test", "omitted"], threshold=threshold)
     names = ["supporting_pairs", "disjoint_pairs", "assays", "median_delta", "direction_agreement", "interpretation"]
     checks = plans.join(stats.select(*keys, "test", "omitted", *names), [*keys, "test", "omitted"], "left")
-    checks = checks.fillna(0, ["supporting_pairs", "disjoint_pairs", "assays"]).fillna("insufficient evidence", ["interpretation"])
+    checks = settle(checks).fillna(0, ["supporting_pairs", "disjoint_pairs", "assays"]).fillna("insufficient evidence", ["interpretation"])
     direction = checks.where(F.col("test") == "Baseline").select(*keys, F.col("interpretation").alias("_direction"))
     retains = F.col("_direction").isin("increase", "decrease") & (F.col("interpretation") == F.col("_direction"))
     return checks.join(direction, keys).withColumn("retains_direction", retains).drop("_direction")

@@ -143,10 +143,10 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the orders: the supplier's nation is the assay, the flag the endpoint."""
-    li, s = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
-    return li.join(s, li.l_suppkey == s.s_suppkey).select(
-        F.col("l_orderkey").cast("string").alias("id"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("assay"), F.col("l_returnflag").alias("endpoint"),
+    """Lines of the orders: the supplier's region is the assay, the flag the endpoint."""
+    li, s, n = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation"))
+    return li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey).select(
+        F.col("l_orderkey").cast("string").alias("id"), F.concat(F.lit("N"), F.col("n_regionkey").cast("string")).alias("assay"), F.col("l_returnflag").alias("endpoint"),
         F.col("l_linestatus").alias("variant"), F.log10("l_extendedprice").alias("v"),
         F.concat(F.col("l_orderkey").cast("string"), F.lit(":"), F.col("l_linenumber").cast("string")).alias("record"),
         F.when(F.col("l_discount") >= 0.1, ">").otherwise("=").alias("relation"), F.concat(F.lit("Y"), F.year("l_shipdate").cast("string")).alias("document"),
@@ -160,22 +160,23 @@ SERIES = """ser AS (
   SELECT core, id, v, 'R1' AS position, R1 AS fragment, '{"R2":"' || R2 || '","R3":"' || R3 || '"}' AS context FROM ser UNION ALL
   SELECT core, id, v, 'R2', R2, '{"R1":"' || R1 || '","R3":"' || R3 || '"}' FROM ser UNION ALL
   SELECT core, id, v, 'R3', R3, '{"R1":"' || R1 || '","R2":"' || R2 || '"}' FROM ser),
- pp AS (
+ pp AS MATERIALIZED (
   SELECT a.core, a.position, a.context, a.id AS id_from, b.id AS id_to, a.fragment AS fragment_from, b.fragment AS fragment_to, a.v AS pooled_from, b.v AS pooled_to
   FROM pos a JOIN pos b ON a.core = b.core AND a.position = b.position AND a.context = b.context AND a.fragment < b.fragment)"""
 
 MEASURED = """ev AS (
-  SELECT CAST(l_orderkey AS VARCHAR) AS id, 'N' || s_nationkey AS assay, l_returnflag AS endpoint, l_linestatus AS variant, log10(l_extendedprice) AS v,
+  SELECT CAST(l_orderkey AS VARCHAR) AS id, 'N' || n_regionkey AS assay, l_returnflag AS endpoint, l_linestatus AS variant, log10(l_extendedprice) AS v,
     l_orderkey || ':' || l_linenumber AS record, CASE WHEN l_discount >= 0.1 THEN '>' ELSE '=' END AS relation, 'Y' || year(l_shipdate) AS document
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
- me AS (
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+ me AS MATERIALIZED (
   SELECT id AS entity, assay, endpoint, variant, median(v) AS value, string_agg(DISTINCT record, ';' ORDER BY record) AS records
   FROM (SELECT DISTINCT id, assay, endpoint, variant, v, record FROM ev WHERE relation = '=') GROUP BY ALL)"""
 
-RESOLVED = """sh AS (
-  SELECT pp.*, a.assay, a.endpoint, a.variant, a.value AS value_from, b.value AS value_to, a.records AS records_from, b.records AS records_to
-  FROM pp JOIN me a ON a.entity = id_from JOIN me b ON b.entity = id_to AND a.assay = b.assay AND a.endpoint = b.endpoint AND a.variant = b.variant),
- rp AS (
+RESOLVED = """sha AS MATERIALIZED (SELECT pp.*, assay, endpoint, variant, value AS value_from, records AS records_from FROM pp JOIN me ON entity = id_from),
+ sh AS MATERIALIZED (
+  SELECT sha.*, b.value AS value_to, b.records AS records_to
+  FROM sha JOIN me b ON b.entity = id_to AND sha.assay = b.assay AND sha.endpoint = b.endpoint AND sha.variant = b.variant),
+ rp AS MATERIALIZED (
   SELECT core, position, context, fragment_from, fragment_to, id_from, id_to, assay, endpoint, variant, 'shared assay' AS evidence_tier, value_from, value_to,
     records_from, records_to, value_to - value_from AS delta FROM sh
   UNION ALL

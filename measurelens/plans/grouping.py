@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from measurelens.operators import groups
+from measurelens.operators.common import settle
 from measurelens.plans import bindings as b
 from measurelens.plans.bindings import E
 from measurelens.plans.registry import query, rounded
@@ -91,7 +92,7 @@ FRAG = f"""{E}, long AS (SELECT pactivity AS v, 'p_brand' AS position, p_brand A
     FROM fr JOIN ot USING (position, fragment) JOIN ux USING (position, fragment)""",
 )
 def c15(spark, d):
-    return rounded(groups.substituent_stats(b.entities(spark, d), ["p_brand", "p_type", "p_size"], value="pactivity"), p_value=5)
+    return rounded(groups.substituent_stats(settle(b.entities(spark, d)), ["p_brand", "p_type", "p_size"], value="pactivity"), p_value=5)
 
 
 @query(
