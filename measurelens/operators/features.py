@@ -80,13 +80,6 @@ def take_features(df: DataFrame, array: str, features: Sequence[int], out: str =
     return df.withColumn(out, array_to_vector(values))
 
 
-def correlation_pairs(long: DataFrame, row: str) -> DataFrame:
-    """Correlation of every feature pair that occurs together in a row (sparse or narrow rows)."""
-    a = long.select(row, F.col("feature").alias("f_a"), F.col("v").alias("x"))
-    b = long.select(row, F.col("feature").alias("f_b"), F.col("v").alias("y"))
-    return a.join(b, row).where(F.col("f_a") < F.col("f_b")).groupBy("f_a", "f_b").agg(F.corr("x", "y").alias("correlation"))
-
-
 def impute_scale_fit(long: DataFrame) -> DataFrame:
     """Median, mean and deviation per feature; deviations follow imputation.
 
@@ -242,11 +235,11 @@ def padded_box(points: DataFrame, coords: Sequence[str] = ("x", "y", "z"), paddi
 def _on_grid(atoms: DataFrame, grid: DataFrame) -> DataFrame:
     """Every atom beside every grid point; the grid is one row of checked size.
 
-    Atoms of an entity are brought together first, so that sums over atoms are
-    combined before they move.
+    No join with a table of points: an atom expands into the points in place, and
+    sums over atoms combine in the same task before they move.
     """
     point = F.explode(F.sequence(F.lit(0), F.col("points") - 1)).alias("point")
-    rows = atoms.repartition("entity").join(F.broadcast(grid)).select("*", point)
+    rows = atoms.join(F.broadcast(grid)).select("*", point)
     iz = F.pmod(F.col("point"), F.col("nz"))
     iy = F.pmod(F.floor(F.col("point") / F.col("nz")), F.col("ny"))
     ix = F.floor(F.col("point") / (F.col("nz") * F.col("ny")))

@@ -12,11 +12,11 @@ from measurelens.plans.registry import query, rounded
 from measurelens.plans.scoring import HASH
 
 # Measurements for the leak-free tables: the value of an order line, the customer as entity.
-LEAK = f"""lm AS (SELECT o_custkey AS key, 'C' || o_custkey AS molecule_id, log10(o_totalprice) AS v, CAST(year(o_orderdate) AS INTEGER) AS yr, o_orderpriority AS origin FROM orders WHERE o_orderstatus = 'P')"""
+LEAK = f"""lm AS (SELECT o_custkey AS key, 'C' || o_custkey AS molecule_id, log10(o_totalprice) AS v, CAST(year(o_orderdate) AS INTEGER) AS yr, o_orderpriority AS origin FROM orders)"""
 
 
 def leak_rows(spark, d):
-    o = b.table(spark, d, "orders").where("o_orderstatus = 'P'")
+    o = b.table(spark, d, "orders")
     return o.select(F.col("o_custkey").alias("key"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("molecule_id"), F.log10("o_totalprice").alias("v"), F.year("o_orderdate").alias("yr"), F.col("o_orderpriority").alias("origin"))
 
 
@@ -31,9 +31,9 @@ SAFE = """SELECT key, round(value, 6) AS value, n_measurements, {cls} AS activit
     SELECT key, round(value, 6), n_measurements, {cls}, true FROM e2 WHERE key NOT IN (SELECT key FROM e1)""".format(cls=CLASS_SQL.format(v="value"))
 
 
-@query("R1_time_safe", f"WITH {LEAK}, a AS (SELECT * FROM lm WHERE yr <= 1999), z AS (SELECT * FROM lm WHERE yr > 1999), e1 AS ({CUR.format('a')}), e2 AS ({CUR.format('z')}) {SAFE}")
+@query("R1_time_safe", f"WITH {LEAK}, a AS (SELECT * FROM lm WHERE yr <= 1995), z AS (SELECT * FROM lm WHERE yr > 1995), e1 AS ({CUR.format('a')}), e2 AS ({CUR.format('z')}) {SAFE}")
 def r1(spark, d):
-    return rounded(splits.time_safe(leak_rows(spark, d), _curate, year="yr", cutoff=1999, key="key"))
+    return rounded(splits.time_safe(leak_rows(spark, d), _curate, year="yr", cutoff=1995, key="key"))
 
 
 @query("R2_origin_safe", f"WITH {LEAK}, a AS (SELECT * FROM lm WHERE origin <> '5-LOW'), z AS (SELECT * FROM lm WHERE origin = '5-LOW'), e1 AS ({CUR.format('a')}), e2 AS ({CUR.format('z')}) {SAFE}")
@@ -41,10 +41,10 @@ def r2(spark, d):
     return rounded(splits.origin_safe(leak_rows(spark, d), _curate, origin="origin", held_out="5-LOW", key="key"))
 
 
-@query("J7_novel_keys", f"WITH {LEAK} SELECT DISTINCT key FROM lm WHERE yr > 1999 AND key NOT IN (SELECT key FROM lm WHERE yr <= 1999)")
+@query("J7_novel_keys", f"WITH {LEAK} SELECT DISTINCT key FROM lm WHERE yr > 1995 AND key NOT IN (SELECT key FROM lm WHERE yr <= 1995)")
 def j7(spark, d):
     rows = leak_rows(spark, d)
-    return splits.novel_keys(rows.where("yr > 1999"), rows.where("yr <= 1999"), "key")
+    return splits.novel_keys(rows.where("yr > 1995"), rows.where("yr <= 1995"), "key")
 
 
 # Rows for splits: orders, grouped by customer (missing for one segment), labelled by status.
