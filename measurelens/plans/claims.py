@@ -77,7 +77,7 @@ def _measured(spark, d):
 
 def _resolved(spark, d, joint=True):
     """Pairs with their evidence, written once; ``joint`` puts the core into the context."""
-    out = pr.resolve_evidence(settle(_position_pairs(spark, d)), _measured(spark, d))
+    out = pr.resolve_evidence(settle(_position_pairs(spark, d)), settle(_measured(spark, d)))
     # every statistic below reads the resolved pairs several times
     return settle(out.withColumn("context", F.concat_ws(" ", F.col("core").cast("string"), "context")) if joint else out)
 
@@ -269,7 +269,7 @@ OMIT = f"""{CHOSEN},
  us_ AS (SELECT DISTINCT {OMIT_KEYS}, assay, unnest([id_from, id_to]) AS id FROM one),
  od AS (SELECT DISTINCT {OMIT_KEYS}, document AS omitted FROM us_ JOIN tc USING (id, assay, endpoint, variant) QUALIFY dense_rank() OVER (PARTITION BY {OMIT_KEYS} ORDER BY document) <= 20),
  ag AS (SELECT tc.id, tc.assay, tc.endpoint, tc.variant, tc.document AS omitted, median(rc.v) AS again FROM tc LEFT JOIN rc ON rc.id = tc.id AND rc.assay = tc.assay AND rc.endpoint = tc.endpoint AND rc.variant = tc.variant AND rc.document <> tc.document GROUP BY ALL),
- wd AS (SELECT one.* EXCLUDE (value_from, value_to, delta), omitted, CASE WHEN a.id IS NULL THEN value_from ELSE a.again END AS value_from, CASE WHEN c.id IS NULL THEN value_to ELSE c.again END AS value_to
+ wd AS (SELECT one.* EXCLUDE (value_from, value_to, delta), od.omitted, CASE WHEN a.id IS NULL THEN value_from ELSE a.again END AS value_from, CASE WHEN c.id IS NULL THEN value_to ELSE c.again END AS value_to
   FROM one JOIN od USING ({OMIT_KEYS}) LEFT JOIN ag a ON a.id = id_from AND a.assay = one.assay AND a.endpoint = one.endpoint AND a.variant = one.variant AND a.omitted = od.omitted
    LEFT JOIN ag c ON c.id = id_to AND c.assay = one.assay AND c.endpoint = one.endpoint AND c.variant = one.variant AND c.omitted = od.omitted),
  om AS (SELECT {OMIT_KEYS}, context, assay, id_from, id_to, delta, 'Baseline' AS test, 'None' AS omitted FROM one
