@@ -232,7 +232,7 @@ def stage_log(measurements: DataFrame, accepted: DataFrame, entities: DataFrame,
     def row(step: int, name: str, before: DataFrame, after: DataFrame, ids: Column) -> DataFrame:
         left = before.agg(F.count(F.lit(1)).alias("records_in"))
         right = after.agg(F.count(F.lit(1)).alias("records_out"), ids.alias("molecules_out"))
-        return left.crossJoin(F.broadcast(right)).select(F.lit(step).alias("step"), F.lit(name).alias("name"), "*")
+        return left.join(F.broadcast(right)).select(F.lit(step).alias("step"), F.lit(name).alias("name"), "*")
 
     log = row(len(STEPS), "standardisation", measurements, accepted, F.count_distinct("molecule_id"))
     log = log.unionByName(row(len(STEPS) + 1, "aggregation", accepted, entities, F.count(F.lit(1))))

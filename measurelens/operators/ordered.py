@@ -174,5 +174,5 @@ def count_far_pairs(df: DataFrame, value: str, distance: float, keys: Sequence[s
         .where((F.col("lo") >= F.col("hi") - d - eps) & (F.col("hi") - F.col("lo") > d))
     )
     near = (near.groupBy(*keys) if keys else near.groupBy()).agg(F.sum(F.col("c_hi") * F.col("c_lo")).alias("edge"))
-    joined = sure.join(near, keys, "left") if keys else sure.crossJoin(F.broadcast(near))
+    joined = sure.join(near, keys, "left") if keys else sure.join(F.broadcast(near))
     return joined.select(*keys, "n_rows", (F.col("sure") + F.coalesce(F.col("edge"), F.lit(0))).alias("far_pairs"))

@@ -189,10 +189,9 @@ RESOLVED = """sha AS MATERIALIZED (SELECT pp.*, assay, endpoint, variant, value
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with a measured value and a prediction that knows only the line count.
+    """Orders with a measured value and a prediction from their lines.
 
-    A third of the orders (by key range order) would be an id subset, so all
-    orders are scored; ``block`` is the customer, missing for one segment.
+    ``block`` is the customer, missing for one segment.
     """
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
