@@ -15,10 +15,10 @@ from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
 
 
 @pytest.fixture(scope="module")
-def con(sf_dir):
+def con(sf_dir, tmp_path_factory):
     import duckdb
 
-    c = duckdb.connect()
+    c = duckdb.connect(config={"temp_directory": str(tmp_path_factory.mktemp("duckdb"))})
     for t in check.TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return c
