@@ -15,13 +15,26 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.join(F.broadcast(one_row))
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one given to setCheckpointDir.
+
+    Where neither is set, a session in one process (local mode, as in tests) gets
+    a temporary folder; on a cluster that is an error, since executors would
+    write to disks of their own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    given = context._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _LOCAL_FOLDERS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="spark-"))
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -51,10 +64,6 @@ def row_fingerprint(df: DataFrame, columns: Sequence[str]) -> Column:
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
-def is_empty(df: DataFrame) -> bool:
-    return df.isEmpty()
-
-
 def first_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, spread: Sequence[str]) -> DataFrame:
     """The first k rows per key in ``order``, ranked within chunks before the key as a whole.
 
