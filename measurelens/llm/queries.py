@@ -8,6 +8,8 @@ import importlib
 _MODULES = {
     "op2_toxicity": "toxicity",
     "op5_decontamination": "decontaminate",
+    "op6_bpe": "bpe",
+    "op7_secret_scan": "secrets",
 }
 
 
