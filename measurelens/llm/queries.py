@@ -6,11 +6,13 @@ import importlib
 
 # query name -> module of its function ``op<N>`` (and ``SQL``, where there is one)
 _MODULES = {
+    "op1_fingerprints": "fingerprints",
     "op2_toxicity": "toxicity",
     "op3_jaccard_join": "jaccard",
     "op5_decontamination": "decontaminate",
     "op6_bpe": "bpe",
     "op7_secret_scan": "secrets",
+    "op8_quality": "quality",
 }
 
 
