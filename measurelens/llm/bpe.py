@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from measurelens.llm.texts import documents, joined, name_of, pieces, prefix_codes, ragged, raw, span_codes
 
-SLAB = 32_000_000  # bytes of text whose words are merged together
+SLAB = 6_000_000  # bytes of text whose words are merged together
 NONE = np.int32(2**31 - 1)
 SPACE, LETTER, NUMBER, OTHER, EDGE = range(5)
 
