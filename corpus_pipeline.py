@@ -1,8 +1,74 @@
-"""From raw documents to token ids."""
+"""From raw documents to token ids: reject, deduplicate, clean, mask, encode.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all that the stage before kept,
+and returns a DataFrame; all but the last return the columns of ``docs``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from measurelens.llm import bpe, decontaminate, jaccard, secrets, toxicity
+from measurelens.llm.texts import learn_bucket
+from measurelens.operators.common import settle
+
+
+def reject_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents with a toxicity score of at least 0.5; the model learns from the labelled ones among ``docs``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, learn_bucket(F.col("doc_id"), 5) != 0, label="toxic")
+    return toxicity.score(docs.drop("score"), model).where("score < 0.5").select(docs.columns)
+
+
+def deduplicate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of similar ones: that of the smallest id.
+
+    Of rows with the same id the one with the smallest text stays.  Documents
+    without an id are kept.
+    """
+    found = jaccard.jaccard_components(docs)
+    keep = settle(found.where("doc_id = component_id").select("doc_id").distinct())
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *[F.col(c).cast("string").asc_nulls_last() for c in docs.columns if c != "text"])
+    known = docs.join(keep, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
+    return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def clean_benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a window of a benchmark item."""
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("hit_ranges") == 0).select(docs.columns)
+
+
+def mask_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret by its kind in angle brackets and count the characters anew; all documents stay."""
+    found = secrets.findings(docs, secrets.scan(docs))
+    masked = found.withColumn("text", secrets.masked(F.col("text"), F.col("spans")))
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return masked.select(docs.columns)
+
+
+def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document that is left, with their number."""
+    ids = bpe.encode(docs, bpe.vocabulary_path(), carry=["doc_id"])
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near duplicates", deduplicate),
+    ("decontamination", clean_benchmark),
+    ("secrets", mask_secrets),
+    ("encoding", encode),
+]
+
+# a learned score and token ids have no SQL form: tests/llm compares every stage with a plain version
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

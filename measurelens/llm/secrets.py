@@ -139,3 +139,17 @@ def op7(spark, sf_dir: str) -> DataFrame:
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )
+
+
+def masked(text: Column, found: Column) -> Column:
+    """The text with every finding replaced by its kind in angle brackets; of overlapping findings the first masks them all."""
+    body = F.coalesce(text, F.lit(""))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, s):
+        start, end = F.greatest(s["start"], acc["at"]), F.greatest(s["end"], acc["at"])
+        fresh = s["start"] >= acc["at"]
+        gap = F.when(fresh, F.concat(F.substring(body, acc["at"] + 1, start - acc["at"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise(F.lit(""))
+        return F.struct(end.alias("at"), F.concat(acc["out"], gap).alias("out"))
+
+    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, begin, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body)))))
