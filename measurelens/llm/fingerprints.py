@@ -92,7 +92,7 @@ def fingerprint(docs: DataFrame, *, text: str = "text", carry=None) -> DataFrame
     return map_texts(docs, text, RESULTS, lambda: lambda col: [pa.array(hexed(digest_bytes(*raw(col))))], carry=carry)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     """Likeness of two fingerprint columns; null if one is null."""
     both = a.notna() & b.notna()

@@ -10,11 +10,12 @@ ones, and empty parts come last, so passages that many texts share hardly ever
 make a signature.  The order is only that: whatever counts as frequent, no pair
 is lost.
 
-Equal sets are one node.  Sets that share a signature are candidates, and every
-candidate is compared in full.  A signature shared by few sets gives all pairs;
-a crowded one first compares its members with one of them, and afterwards only
-members that are still in different components, unless the distances to the
-first member (Jaccard distance is a metric) already exclude them.
+Equal sets are one node.  Sets that share a signature are candidates.  A signature
+shared by few sets gives all pairs; a crowded one first pairs its members with one
+of them, and afterwards only members that are still in different components.  A
+candidate whose bucket counts differ by more than similar sets can differ is
+dropped (the difference of counts never exceeds that of the sets); every other one
+is compared in full.
 
 Signatures travel as blobs, one per range of codes and slab of texts, so a range
 of codes holds an equal share of the work even if one text fills the table.
@@ -23,7 +24,10 @@ Features, sets and signatures are compared by 64-bit codes.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -39,6 +43,8 @@ SHARE = (3, 4)  # similar: intersection / union >= 3 / 4
 SLAB = 16_000_000  # bytes of text whose signatures travel together
 OFTEN = 8  # sets of one slab that hold a feature before it may count as frequent
 FREQUENT = 500_000  # frequent features at most; the list only orders the parts
+MAP_BITS = 1 << 23  # of the bit map of wanted ids
+BLOCK = 1000
 CROWD = 8  # members of a signature that are paired at once
 
 _EMPTY = np.zeros(0, np.int64)
@@ -70,6 +76,28 @@ def set_keys(owner: np.ndarray, code: np.ndarray, size: np.ndarray) -> np.ndarra
     return mix(total + size.astype(np.uint64)).view(np.int64)
 
 
+def bucket_counts(owner: np.ndarray, code: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Per set the number of features in each of 2^k buckets, one byte each, with about two buckets per feature pair."""
+    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 2) / 2)).astype(np.int64))
+    base = np.cumsum(width) - width
+    spread = mix(code ^ np.uint64(0x3C6EF372FE94F82B)).astype(np.int64)
+    counts = np.bincount(base[owner] + (spread & (width[owner] - 1)), minlength=int(width.sum()))
+    flat = np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return [flat[a : a + w] for a, w in zip(base.tolist(), width.tolist())]
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A lower bound of the symmetric differences: rows of bucket counts of one set against those of many.
+
+    Buckets are the low bits of a hash, so the wider counts fold onto the narrower.
+    """
+    if len(x) > y.shape[1]:
+        x = x.reshape(-1, y.shape[1]).sum(axis=0)
+    elif y.shape[1] > len(x):
+        y = y.reshape(len(y), -1, len(x)).sum(axis=1)
+    return np.abs(x.astype(np.int32) - y.astype(np.int32)).sum(axis=1)
+
+
 def slabs(batches, limit: int = SLAB):
     """Lists of record batches of about ``limit`` bytes of text in column 0."""
     held, size = [], 0
@@ -85,9 +113,10 @@ def slabs(batches, limit: int = SLAB):
 
 
 def profile(rows: DataFrame, width: int, often: int) -> DataFrame:
-    """One row (id, key, n) per text, and rows (code, n) of features that many sets of a slab hold."""
-    schema = T.StructType([rows.schema["_id"], T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("code", T.LongType())])
-    id_type = rows.schema["_id"]
+    """One row (id, key, n, counts) per text, and rows (code, n) of features that many sets of a slab hold."""
+    schema = T.StructType(
+        [rows.schema["_id"], T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("code", T.LongType()), T.StructField("counts", T.BinaryType())]
+    )
 
     def run(batches):
         for slab in slabs(batches):
@@ -95,18 +124,19 @@ def profile(rows: DataFrame, width: int, often: int) -> DataFrame:
             for piece in slab:
                 owner, code, size = sets_of(piece.column(0), width)
                 key = set_keys(owner, code, size)
-                yield pa.RecordBatch.from_arrays([piece.column(1), pa.array(key), pa.array(size.astype(np.int64)), pa.nulls(len(key), pa.int64())], schema.fieldNames())
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(1), pa.array(key), pa.array(size.astype(np.int64)), pa.nulls(len(key), pa.int64()), pa.array(bucket_counts(owner, code, size), pa.binary())], schema.fieldNames()
+                )
                 new = np.array([k not in seen and not seen.add(k) for k in key.tolist()], np.bool_)
                 codes.append(code[new[owner]])
             code, count = np.unique(np.concatenate(codes), return_counts=True)
             top = count >= often
-            if top.any():
+            n = int(top.sum())
+            if n:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(int(top.sum()), piece.column(1).type), pa.nulls(int(top.sum()), pa.int64()), pa.array(count[top].astype(np.int64)), pa.array(code[top].view(np.int64))],
-                    schema.fieldNames(),
+                    [pa.nulls(n, piece.column(1).type), pa.nulls(n, pa.int64()), pa.array(count[top].astype(np.int64)), pa.array(code[top].view(np.int64)), pa.nulls(n, pa.binary())], schema.fieldNames()
                 )
 
-    assert id_type is not None
     return rows.select("_text", "_id").mapInArrow(run, schema)
 
 
@@ -310,8 +340,29 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def may_hold(wanted: DataFrame, column: str):
+    """A condition that is true for all values in ``wanted`` and for few others, from a bit map of fixed size."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    words = wanted.select(place(column).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("bits"))
+    bits = np.zeros(MAP_BITS // 32, np.uint32)
+    for r in words.toLocalIterator():  # MAP_BITS / 32 rows at most
+        bits[r.w] = r.bits
+    shared = wanted.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def held(p: pd.Series) -> pd.Series:
+        at = p.to_numpy()
+        return pd.Series((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+
+    return held(place(column))
+
+
 def load_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(key, codes) for the texts whose ``_id`` is in ``wanted`` (_id, key); codes are sorted."""
+    """(key, codes) for the texts whose ``_id`` is in ``wanted``; codes are sorted.
+
+    Equal ids with different texts may bring sets that were not asked for: they
+    join with nothing.
+    """
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("codes", T.BinaryType())])
 
     def run(batches):
@@ -323,8 +374,96 @@ def load_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 blob = [code[e - n : e].tobytes() for e, n in zip(ends.tolist(), size.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(blob, pa.binary())], schema.fieldNames())
 
-    # equal ids with different texts may bring sets that were not asked for: they join with nothing
-    return rows.join(wanted, "_id", "left_semi").select("_text").mapInArrow(run, schema).dropDuplicates(["key"])
+    return rows.where(may_hold(wanted, "_id")).join(wanted, "_id", "left_semi").select("_text").mapInArrow(run, schema)
+
+
+def close_pairs(pairs: DataFrame, counts: DataFrame, share) -> DataFrame:
+    """The pairs that the bucket counts do not exclude."""
+    num, den = share
+    left = counts.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("counts").alias("c_a"))
+    right = counts.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("counts").alias("c_b"))
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "c_a", "c_b")
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b")])
+
+    def run(batches):
+        for batch in batches:
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            keep = []
+            for x, y, t in zip(batch.column(4), batch.column(5), total.tolist()):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                keep.append(least_difference(x, y[None, :])[0] * (den + num) <= t * (den - num))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], schema.fieldNames())
+
+    return rows.mapInArrow(run, schema)
+
+
+def open_pairs(crowded: DataFrame, counts: DataFrame, roots: DataFrame, share) -> DataFrame:
+    """Close pairs of members of a crowded signature that are in different components.
+
+    A crowded signature is cut into blocks of about ``BLOCK`` members; a pair of
+    blocks is one piece of work.
+    """
+    num, den = share
+    members = crowded.select("sig", F.col("b").alias("key"), F.col("size_b").alias("z"))
+    members = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = members.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("load")).where("r0 <> r1")
+    # written, so that the join deals both sides anew and Spark can split a very crowded signature
+    mixed = settle(mixed.select("sig", F.ceil(F.col("load") / BLOCK).cast("int").alias("blocks")))
+    members = members.join(mixed, "sig").join(counts.select("key", "counts"), "key")
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "z", "root", "counts")
+    parts = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b")])
+
+    def work(group: pa.Table):
+        own, key, z, root = (group.column(n).to_numpy() for n in ("own", "key", "z", "root"))
+        one_block = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+        size, up = np.abs(z).astype(np.int64), z > 0
+        counts = group.column("counts").to_pylist()
+        widths = np.array([len(c) for c in counts])
+        by_width = {w: np.flatnonzero(widths == w) for w in np.unique(widths)}
+        stacked = {w: np.frombuffer(b"".join(counts[i] for i in at), np.uint8).reshape(len(at), -1) for w, at in by_width.items()}
+        out_a, out_b = [], []
+        for x in range(len(key)):
+            row = np.frombuffer(counts[x], np.uint8)
+            for w, at in by_width.items():
+                fits = (key[at] > key[x]) & (root[at] != root[x]) & (up[at] | up[x]) & (np.minimum(size[at], size[x]) * den >= np.maximum(size[at], size[x]) * num)
+                if not one_block:
+                    fits &= own[at] != own[x]
+                some = np.flatnonzero(fits)
+                if not len(some):
+                    continue
+                close = least_difference(row, stacked[w][some]) * (den + num) <= (size[at[some]] + size[x]) * (den - num)
+                hit = at[some[close]]
+                out_a.append(np.full(len(hit), key[x]))
+                out_b.append(key[hit])
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], schema.fieldNames())
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            table = table.combine_chunks()
+            where = [table.column(n).to_numpy() for n in ("sig", "i", "j")]
+            new = np.flatnonzero(np.logical_or.reduce([w[1:] != w[:-1] for w in where])) + 1
+            cuts = [0, *new.tolist()]
+            for a, b in zip(cuts, cuts[1:]):
+                yield from work(table.slice(a, b - a))
+            rest = table.slice(cuts[-1])
+        if rest is not None and rest.num_rows:
+            yield from work(rest.combine_chunks())
+
+    return dealt.mapInArrow(run, schema).distinct()
+
+
+def swept(spark) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps that nothing refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def similar_links(rows: DataFrame, seen: DataFrame, *, width: int = WIDTH, share=SHARE, crowd: int = CROWD) -> DataFrame:
@@ -335,51 +474,24 @@ def similar_links(rows: DataFrame, seen: DataFrame, *, width: int = WIDTH, share
     often = often.orderBy(F.desc("n"), "code").limit(FREQUENT).select("code")
     frequent = np.sort(np.array([r.code for r in often.toLocalIterator()], np.int64).view(np.uint64))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blobs = signature_blobs(rows, frequent, ranges, width, share).repartitionById(ranges, F.col("range"))
-    met = settle(meet(blobs, share, crowd))
-    pairs = settle(met.where("sig is null").select("a", "b").distinct())
-    crowded = met.where("sig is not null")
-    first_id = seen.where("code is null and n > 0").groupBy("key").agg(F.min("_id").alias("_id"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(crowded.select(F.col("b").alias("key"))).distinct()
-    sets = settle(load_sets(rows, ends.join(first_id, "key").select("_id"), width))
+    met = settle(meet(signature_blobs(rows, frequent, ranges, width, share).repartitionById(ranges, F.col("range")), share, crowd))
+    swept(spark)
+    counts = settle(seen.where("code is null and n > 0").groupBy("key").agg(F.min(F.struct("_id", "n", "counts")).alias("r")).select("key", "r.*"))
     similar = F.col("common") * den >= (F.col("size_a") + F.col("size_b") - F.col("common")) * num
-    done = settle(compare(pairs, sets))
-    links = done.where(similar).select("a", "b")
-    if crowded.isEmpty():
-        return links
-    rest = settle(open_pairs(crowded, done, components(links), share))
-    more = compare(rest, sets).where(similar).select("a", "b")
-    return links.unionByName(more)
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        wanted = settle(counts.join(keys, "key", "left_semi").select("_id"))
+        sets = settle(load_sets(rows, wanted, width))
+        return settle(compare(pairs, sets).where(similar).select("a", "b").distinct())
 
-def open_pairs(crowded: DataFrame, done: DataFrame, roots: DataFrame, share) -> DataFrame:
-    """Pairs of members of a crowded signature that may be similar and are in different components."""
-    num, den = share
-    far = 1.0 - num / den
-    distance = 1.0 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
-    known = done.select("a", "b", distance.alias("d"))
-    root = roots.select(F.col("node").alias("b"), "root")
-    members = crowded.join(known, ["a", "b"], "left").join(root, "b", "left")
-    # a pair that was not compared has sizes too far apart: its distance is known to be above the limit only
-    members = members.select(
-        "sig", F.col("b").alias("key"), F.col("size_b").alias("z"), F.coalesce("root", "b").alias("root"), F.when(F.col("a") == F.col("b"), F.lit(0.0)).otherwise(F.col("d")).alias("d")
-    )
-    mixed = members.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("load")).where("r0 <> r1").select("sig", "load")
-    members = members.join(mixed, "sig").withColumn("blocks", F.ceil(F.col("load") / 1000).cast("int"))
-    left = members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    right = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x, y = left.alias("x"), right.alias("y")
-    za, zb = F.abs("x.z").cast("long"), F.abs("y.z").cast("long")
-    apart = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) > far + 1e-9, F.lit(False))
-    both = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.block") == F.col("y.block"))).where(
-        (F.col("x.key") < F.col("y.key"))
-        & (F.col("x.root") != F.col("y.root"))
-        & ((F.col("x.z") > 0) | (F.col("y.z") > 0))
-        & (F.least(za, zb) * den >= F.greatest(za, zb) * num)
-        & ~apart
-    )
-    pairs = both.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    return pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+    links = linked(settle(close_pairs(met.where("sig is null").select("a", "b").distinct(), counts, share)))
+    swept(spark)
+    crowded = met.where("sig is not null")
+    rest = settle(open_pairs(crowded, counts, components(links), share))
+    if rest.isEmpty():
+        return links
+    return links.unionByName(linked(rest))
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, share=SHARE, crowd: int = CROWD) -> DataFrame:

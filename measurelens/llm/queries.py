@@ -13,6 +13,7 @@ _MODULES = {
     "op6_bpe": "bpe",
     "op7_secret_scan": "secrets",
     "op8_quality": "quality",
+    "op9_chat_format": "chat",
 }
 
 
