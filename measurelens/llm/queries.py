@@ -9,6 +9,7 @@ _MODULES = {
     "op1_fingerprints": "fingerprints",
     "op2_toxicity": "toxicity",
     "op3_jaccard_join": "jaccard",
+    "op4_url_filter": "urlfilter",
     "op5_decontamination": "decontaminate",
     "op6_bpe": "bpe",
     "op7_secret_scan": "secrets",
