@@ -29,13 +29,12 @@ import gc
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from measurelens.llm.components import components
-from measurelens.llm.texts import SPACED, Words, documents, mix, name_of, pieces, ragged, shingle_codes
+from measurelens.llm.texts import SPACED, Words, documents, mix, name_of, pieces, shingle_codes, slabs
 from measurelens.operators.common import settle
 
 WIDTH = 5
@@ -98,20 +97,6 @@ def least_difference(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.abs(x.astype(np.int32) - y.astype(np.int32)).sum(axis=1)
 
 
-def slabs(batches, limit: int = SLAB):
-    """Lists of record batches of about ``limit`` bytes of text in column 0."""
-    held, size = [], 0
-    for batch in batches:
-        for piece in pieces(batch, 0):
-            held.append(piece)
-            size += pc.sum(pc.binary_length(piece.column(0))).as_py() or 0
-            if size >= limit:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
 def profile(rows: DataFrame, width: int, often: int) -> DataFrame:
     """One row (id, key, n, counts) per text, and rows (code, n) of features that many sets of a slab hold."""
     schema = T.StructType(
@@ -119,7 +104,7 @@ def profile(rows: DataFrame, width: int, often: int) -> DataFrame:
     )
 
     def run(batches):
-        for slab in slabs(batches):
+        for slab in slabs(batches, SLAB):
             codes, seen = [], set()
             for piece in slab:
                 owner, code, size = sets_of(piece.column(0), width)
@@ -211,7 +196,7 @@ def signature_blobs(rows: DataFrame, frequent: np.ndarray, ranges: int, width: i
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        for slab in slabs(batches):
+        for slab in slabs(batches, SLAB):
             held = []
             for piece in slab:
                 owner, code, size = sets_of(piece.column(0), width)

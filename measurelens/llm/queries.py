@@ -15,6 +15,7 @@ _MODULES = {
     "op7_secret_scan": "secrets",
     "op8_quality": "quality",
     "op9_chat_format": "chat",
+    "op10_lm_scoring": "lm",
 }
 
 

@@ -74,6 +74,20 @@ def pieces(batch: pa.RecordBatch, at: int, limit: int = PIECE) -> Iterator[pa.Re
         first = last
 
 
+def slabs(batches, limit: int):
+    """Lists of record batches of about ``limit`` bytes of text in column 0."""
+    held, size = [], 0
+    for batch in batches:
+        for piece in pieces(batch, 0):
+            held.append(piece)
+            size += pc.sum(pc.binary_length(piece.column(0))).as_py() or 0
+            if size >= limit:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all values, offsets); no value may be null."""
     wide = col.cast(pa.large_binary()) if not pa.types.is_large_binary(col.type) else col
