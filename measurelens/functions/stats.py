@@ -81,6 +81,10 @@ def mann_whitney_p(n1: Column, n2: Column, rank_sum1: Column, tie_term: Column)
     return F.when((n1 > 0) & (n2 > 0) & (variance > 0), F.least(p, F.lit(1.0)))
 
 
+# From this size of the larger sample on, the exact counts equal their limit to six digits.
+FINE = 1_000_000
+
+
 def exact_mann_whitney() -> Callable[..., Column]:
     """Exact two-sided p for small samples without ties: one row per finished test."""
 
@@ -94,16 +98,23 @@ def exact_mann_whitney() -> Callable[..., Column]:
                 ways = np.zeros(small * large + 1)
                 ways[0] = 1.0
                 for k in range(1, small + 1):
-                    for u in range(len(ways) - 1, large + k - 1, -1):
-                        ways[u] -= ways[u - large - k]
-                    for u in range(k, len(ways)):
-                        ways[u] += ways[u - k]
+                    ways[large + k :] -= ways[: len(ways) - large - k].copy()
+                    # dividing by 1 - x^k sums every k-th entry
+                    padded = np.append(ways, np.zeros(-len(ways) % k)).reshape(-1, k)
+                    ways = padded.cumsum(axis=0).ravel()[: len(ways)]
                 known[small, large] = ways
             return known[small, large]
 
         def p(u: float, a: int, b: int) -> float:
-            ways = counts(min(a, b), max(a, b))
-            return float(min(1.0, 2.0 * ways[int(round(max(u, a * b - u))) :].sum() / ways.sum()))
+            small, large = min(a, b), max(a, b)
+            high = int(round(max(u, a * b - u)))
+            if large > FINE:
+                # U / large is a sum of uniform draws up to an error of small / large
+                x = small - (high - 0.5) / large * 1.0
+                tail = sum((-1) ** j * math.comb(small, j) * max(x - j, 0.0) ** small for j in range(small + 1)) / math.factorial(small)
+                return float(min(1.0, 2.0 * tail))
+            ways = counts(small, large)
+            return float(min(1.0, 2.0 * ways[high:].sum() / ways.sum()))
 
         return pd.Series([p(u, int(a), int(b)) for u, a, b in zip(u1, n1, n2)], dtype="float64")
 
@@ -113,7 +124,7 @@ def exact_mann_whitney() -> Callable[..., Column]:
 def mann_whitney(n1: Column, n2: Column, rank_sum1: Column, tie_term: Column) -> Column:
     """Exact for at most 8 values on one side and no ties, else the normal form."""
     u1 = rank_sum1 - n1.cast("double") * (n1.cast("double") + 1) / 2
-    small = (F.least(n1, n2) <= 8) & (F.least(n1, n2) > 0) & (F.greatest(n1, n2) <= 5000) & (tie_term == 0)
+    small = (F.least(n1, n2) <= 8) & (F.least(n1, n2) > 0) & (tie_term == 0)
     return F.when(
         small,
         exact_mann_whitney()(

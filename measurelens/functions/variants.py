@@ -42,11 +42,12 @@ _CHANGE_WORD = (
     r"(?i)\b(?:mutant|mutation|variant|delet(?:ion|ed)|insert(?:ion|ed)|fusion|"
     r"frameshift|truncat(?:ed|ion)|duplication)\b"
 )
+# fixed value
 UNPARSED_WARNING = "Mutation-related text could not be normalized; inspect the raw annotation."
 
 
 def _clean(raw: Column) -> Column:
-    return F.nullif(F.trim(raw), F.lit(""))
+    return F.nullif(F.regexp_replace(raw, r"^\s+|\s+$", ""), F.lit(""))
 
 
 def _parsed(text: Column) -> Column:
@@ -163,7 +164,7 @@ def matches(query: str | None, raw: Column | str) -> Column:
     if query is None:
         return text.isNull()
     found, wanted = mutations(text), mutations(F.lit(query.strip()))
-    collapse = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    collapse = lambda c: F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), r"\s+", " "))
     wild_query = F.lit(query).rlike(_WILD_TYPE)
     verdict = (
         F.when(F.size(wanted) > 0, found == wanted)

@@ -295,7 +295,7 @@ def block_bootstrap(blocks: DataFrame, *, repeats: int = 500, seed: int = 42) ->
     if repeats < 20:
         raise ValueError("a block bootstrap needs at least 20 repeats")
     sums = ["n", "y", "yy", "ee", "ae", "bb"]
-    placed = numbered(blocks, [], hash_unit(seed, "order", F.col("block"))).withColumnRenamed("position", "slot").withColumnRenamed("position_of", "slots")
+    placed = numbered(blocks, [], hash_unit(seed, "order", F.col("block")), tie=["block"]).withColumnRenamed("position", "slot").withColumnRenamed("position_of", "slots")
     checked = F.when(F.col("slots") >= 2, F.col("slots")).otherwise(F.raise_error(F.lit("a block bootstrap needs at least two blocks")).cast("long"))
     draws = placed.select("slot", checked.alias("slots"), F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep"))
     picked = draws.select("rep", F.floor(hash_unit(seed, F.col("rep"), F.col("slot")) * F.col("slots")).alias("slot"))
@@ -323,8 +323,8 @@ def permuted_labels(df: DataFrame, *, row: str, value: str, repeats: int, seed:
     from measurelens.operators.ordered import numbered
 
     reps = df.select(row, value).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    there = numbered(reps, ["rep"], hash_unit(seed, "row", F.col("rep"), F.col(row))).select("rep", "position", row)
-    here = numbered(reps, ["rep"], hash_unit(seed, "value", F.col("rep"), F.col(row))).select("rep", "position", value)
+    there = numbered(reps, ["rep"], hash_unit(seed, "row", F.col("rep"), F.col(row)), tie=[row]).select("rep", "position", row)
+    here = numbered(reps, ["rep"], hash_unit(seed, "value", F.col("rep"), F.col(row)), tie=[row]).select("rep", "position", value)
     return there.join(here, ["rep", "position"]).select("rep", row, value)
 
 

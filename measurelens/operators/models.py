@@ -192,8 +192,8 @@ def permutation_importance(model, test: DataFrame, *, row: str, target: str, wid
     """
     rows = test.select(row, target, vector_to_array("features").alias("_x"))
     reps = rows.select(row, "_x").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    here = numbered(reps.select(row, "rep"), ["rep"], hash_unit(seed, "to", F.col("rep"), F.col(row))).select("rep", "position", row)
-    donor = numbered(reps, ["rep"], hash_unit(seed, "from", F.col("rep"), F.col(row))).select("rep", "position", F.col("_x").alias("_d"))
+    here = numbered(reps.select(row, "rep"), ["rep"], hash_unit(seed, "to", F.col("rep"), F.col(row)), tie=[row]).select("rep", "position", row)
+    donor = numbered(reps, ["rep"], hash_unit(seed, "from", F.col("rep"), F.col(row)), tie=[row]).select("rep", "position", F.col("_x").alias("_d"))
     mixed = here.join(donor, ["rep", "position"]).join(rows, row).withColumn("feature", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
     swapped = F.transform("_x", lambda x, i: F.when(i == F.col("feature"), F.get("_d", i)).otherwise(x))
     scored = model.transform(mixed.withColumn("features", array_to_vector(swapped)))

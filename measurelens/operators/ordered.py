@@ -129,16 +129,20 @@ def average_ranks(df: DataFrame, value: Column | str, keys: Sequence[str] = ())
     return ranked.withColumn("rank", F.col("n_before") + (F.col("n") + 1) / F.lit(2.0))
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Column, name: str = "position") -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: Column, name: str = "position", *, tie: Sequence[str] | None = None) -> DataFrame:
     """Zero-based position of each row in its group by ``order`` (a double).
 
-    Rows with an equal order value share the position of the first of them.
+    Every row has a position of its own: rows with an equal order value follow
+    the columns ``tie`` (all columns by default).  Only such rows are sorted
+    together.
     """
     keys = list(keys)
     marked = df.withColumn("_order", order.cast("double") + F.lit(0.0))
     ranked = prefix_sums(marked, "_order", {"n": F.lit(1).cast("long")}, keys)
     ranked = ranked.select(*keys, F.col("v").alias("_order"), F.col("n_before").alias(name), F.col("n_total").alias(f"{name}_of"))
-    return marked.join(ranked, [*keys, "_order"]).drop("_order")
+    among = Window.partitionBy(*keys, "_order").orderBy(*(tie or df.columns))
+    joined = marked.join(ranked, [*keys, "_order"])
+    return joined.withColumn(name, F.col(name) + F.row_number().over(among) - 1).drop("_order")
 
 
 def count_far_pairs(df: DataFrame, value: str, distance: float, keys: Sequence[str] = ()) -> DataFrame:

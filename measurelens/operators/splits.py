@@ -59,7 +59,7 @@ def group_folds(df: DataFrame, *, group: str, label: str, k: int, seed: int = 42
     counts = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n"))
     groups = counts.groupBy(group).agg(F.max(F.struct("n", F.col(label).alias("major"))).alias("m"), F.sum("n").alias("size")).select(group, "m.major", "size")
     draw = F.floor(hash_unit(seed, F.col(group)) * F.lit(float(2**30))) / F.lit(float(2**30))
-    placed = numbered(groups, ["major"], -F.col("size").cast("double") + draw)
+    placed = numbered(groups, ["major"], -F.col("size").cast("double") + draw, tie=[group])
     return df.join(placed.select(group, serpentine(F.col("position"), k).alias(name)), group)
 
 
@@ -71,12 +71,12 @@ def group_holdout(df: DataFrame, *, group: str, label: str, test_fraction: float
 
 def stratified_folds(df: DataFrame, *, identifier: str, label: str, k: int, seed: int = 42, name: str = "fold") -> DataFrame:
     """Stratified k folds over rows, dealt by hash order within each class."""
-    placed = numbered(df, [label], hash_unit(seed, F.col(identifier)))
+    placed = numbered(df, [label], hash_unit(seed, F.col(identifier)), tie=[identifier])
     return placed.withColumn(name, F.pmod(F.col("position"), F.lit(k)).cast("int")).drop("position", "position_of")
 
 
 def stratified_holdout(df: DataFrame, *, identifier: str, label: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    placed = numbered(df, [label], hash_unit(seed, F.col(identifier)))
+    placed = numbered(df, [label], hash_unit(seed, F.col(identifier)), tie=[identifier])
     return placed.withColumn("is_test", F.col("position") < F.round(F.col("position_of") * test_fraction)).drop("position", "position_of")
 
 
@@ -120,7 +120,7 @@ def oversample(df: DataFrame, *, identifier: str, label: str, seed: int = 42) ->
     A class draws with replacement: the copies are spread over chunks of a
     thousand draws, and each draw picks a member by its position in hash order.
     """
-    placed = numbered(df, [label], hash_unit(seed, F.col(identifier)))
+    placed = numbered(df, [label], hash_unit(seed, F.col(identifier)), tie=[identifier])
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     goal = sizes.agg(F.max("n").alias("goal"))
     missing = sizes.join(F.broadcast(goal)).select(label, "n", (F.col("goal") - F.col("n")).alias("missing")).where(F.col("missing") > 0)
@@ -132,9 +132,9 @@ def oversample(df: DataFrame, *, identifier: str, label: str, seed: int = 42) ->
     return placed.withColumn("copy", F.lit(0).cast("long")).unionByName(copies.withColumn("copy", F.col("draw") + 1).drop("draw")).drop("position", "position_of")
 
 
-def sample_rows(df: DataFrame, *, identifier: str, cap: int, seed: int = 42) -> DataFrame:
-    """A seeded uniform sample without replacement, for charts above a cap."""
-    return df.orderBy(hash_long(seed, F.col(identifier)), identifier).limit(cap)
+def sample_rows(df: DataFrame, *, identifier: str, fraction: float, seed: int = 42) -> DataFrame:
+    """A seeded uniform sample without replacement: about this share of the rows, whatever their number."""
+    return df.where(hash_unit(seed, F.col(identifier)) < fraction)
 
 
 def split_mapping_check(table: DataFrame, mapping: DataFrame, *, identifier: str, side: str) -> DataFrame:

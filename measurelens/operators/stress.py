@@ -115,8 +115,14 @@ def sparse_pairs(stats: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> Dat
     return first.select(F.lit("Remeasure sparse pair").alias("action"), *keys, "p.id_from", "p.id_to")
 
 
-def _omissions(source: DataFrame, keys: Sequence[str], label: Column, test: str, cap: int | None) -> DataFrame:
-    options = source.select(*keys, label.cast("string").alias("omitted")).where(F.col("omitted").isNotNull() & ~F.col("omitted").isin("", "Unreported", "None", "nan")).distinct()
+# fixed values: names that stand for no assay or publication
+UNNAMED = ("", "Unreported", "None", "nan")
+
+
+def _omissions(source: DataFrame, keys: Sequence[str], label: Column, test: str, cap: int | None, unnamed: Sequence[str] = ()) -> DataFrame:
+    options = source.select(*keys, label.cast("string").alias("omitted")).where(F.col("omitted").isNotNull()).distinct()
+    if unnamed:
+        options = options.where(~F.col("omitted").isin(*unnamed))
     if cap is not None:
         options = first_k(options, keys, ["omitted"], cap, ["omitted"]).drop("_place")
     return options.withColumn("test", F.lit(test))
@@ -128,7 +134,7 @@ def omission_checks(
     *,
     keys: Sequence[str] = CLAIM,
     threshold: float = 0.5,
-    cap: int | None = 100,
+    cap: int | None = None,
     entity: str,
     assay: str,
     endpoint: str,
@@ -141,14 +147,14 @@ def omission_checks(
 
     Compound and context omissions drop pairs.  Assay and publication omissions
     measure again from the raw records and never fall back to pooled values.
-    ``cap`` is the report's own number of omissions per axis; ``None`` lifts it.
+    ``cap`` keeps a report to so many omissions per axis; by default all are tested.
     """
     keys = list(keys)
     shared = pairs.where(F.col("evidence_tier") == "shared assay")
     body = shared.select(*keys, "context", "assay", *[c for c in ("endpoint", "variant") if c not in keys], "id_from", "id_to", "delta")
     compound = _omissions(shared.select(*keys, F.explode(F.array("id_from", "id_to")).alias("id")), keys, F.col("id"), "Leave one compound out", cap)
     context = _omissions(shared, keys, F.col("context"), "Leave one chemical context out", cap)
-    by_assay = _omissions(shared, keys, F.col("assay"), "Leave one assay out", cap)
+    by_assay = _omissions(shared, keys, F.col("assay"), "Leave one assay out", cap, UNNAMED)
     kept = body.join(compound, keys).where((F.col("id_from") != F.col("omitted")) & (F.col("id_to") != F.col("omitted")))
     kept = kept.unionByName(body.join(context, keys).where(F.col("context") != F.col("omitted")))
     # a record belongs to one assay: without the assay its cells are gone and the others unchanged
@@ -185,7 +191,7 @@ def _without_publication(body, evidence, keys, cap, *, entity, assay, endpoint,
     remaining = rows.join(touched, cell).where(~F.col("doc").eqNullSafe(F.col("omitted")))
     again = touched.join(quantiles(remaining, [*cell, "omitted"], "v", {"again": 0.5}), [*cell, "omitted"], "left").withColumn("_touched", F.lit(True))
     used = body.select(*keys, *[c for c in CELL if c not in keys], F.explode(F.array("id_from", "id_to")).alias("id")).distinct()
-    options = _omissions(used.join(touched, cell), keys, F.col("omitted"), "Leave one publication out", cap)
+    options = _omissions(used.join(touched, cell), keys, F.col("omitted"), "Leave one publication out", cap, UNNAMED)
     full = quantiles(rows, cell, "v", {"whole": 0.5})
     cases = body.join(options, keys)
     for side in ("from", "to"):

@@ -261,13 +261,13 @@ OMIT_KEYS = "position, fragment_from, fragment_to, evidence_tier, endpoint, vari
 CHOSEN = f"""{SERIES}, {MEASURED}, {RESOLVED}, one AS (SELECT * FROM gp WHERE evidence_tier = 'shared assay' AND position = 'R2' AND fragment_from = 'F' AND fragment_to = 'O')"""
 OMIT = f"""{CHOSEN},
  oi AS (SELECT DISTINCT {OMIT_KEYS}, unnest([id_from, id_to]) AS omitted FROM one),
- oc AS (SELECT DISTINCT {OMIT_KEYS}, omitted FROM oi QUALIFY dense_rank() OVER (PARTITION BY {OMIT_KEYS} ORDER BY omitted) <= 20),
- ox AS (SELECT DISTINCT {OMIT_KEYS}, context AS omitted FROM one QUALIFY dense_rank() OVER (PARTITION BY {OMIT_KEYS} ORDER BY context) <= 20),
- oa AS (SELECT DISTINCT {OMIT_KEYS}, assay AS omitted FROM one QUALIFY dense_rank() OVER (PARTITION BY {OMIT_KEYS} ORDER BY assay) <= 20),
+ oc AS (SELECT DISTINCT {OMIT_KEYS}, omitted FROM oi),
+ ox AS (SELECT DISTINCT {OMIT_KEYS}, context AS omitted FROM one),
+ oa AS (SELECT DISTINCT {OMIT_KEYS}, assay AS omitted FROM one),
  rc AS (SELECT DISTINCT id, assay, endpoint, variant, v, record, document FROM ev WHERE relation = '='),
  tc AS (SELECT DISTINCT id, assay, endpoint, variant, document FROM rc),
  us_ AS (SELECT DISTINCT {OMIT_KEYS}, assay, unnest([id_from, id_to]) AS id FROM one),
- od AS (SELECT DISTINCT {OMIT_KEYS}, document AS omitted FROM us_ JOIN tc USING (id, assay, endpoint, variant) QUALIFY dense_rank() OVER (PARTITION BY {OMIT_KEYS} ORDER BY document) <= 20),
+ od AS (SELECT DISTINCT {OMIT_KEYS}, document AS omitted FROM us_ JOIN tc USING (id, assay, endpoint, variant)),
  ag AS (SELECT tc.id, tc.assay, tc.endpoint, tc.variant, tc.document AS omitted, median(rc.v) AS again FROM tc LEFT JOIN rc ON rc.id = tc.id AND rc.assay = tc.assay AND rc.endpoint = tc.endpoint AND rc.variant = tc.variant AND rc.document <> tc.document GROUP BY ALL),
  wd AS (SELECT one.* EXCLUDE (value_from, value_to, delta), od.omitted, CASE WHEN a.id IS NULL THEN value_from ELSE a.again END AS value_from, CASE WHEN c.id IS NULL THEN value_to ELSE c.again END AS value_to
   FROM one JOIN od USING ({OMIT_KEYS}) LEFT JOIN ag a ON a.id = id_from AND a.assay = one.assay AND a.endpoint = one.endpoint AND a.variant = one.variant AND a.omitted = od.omitted
@@ -291,7 +291,7 @@ def _chosen(spark, d):
 
 def _checks(spark, d):
     ev = b.series_evidence(spark, d).where("relation = '='")
-    return stress.omission_checks(_chosen(spark, d), ev, threshold=0.01, cap=20, entity="id", assay="assay", endpoint="endpoint", variant="variant", value="v", record="record", document="document")
+    return stress.omission_checks(_chosen(spark, d), ev, threshold=0.01, entity="id", assay="assay", endpoint="endpoint", variant="variant", value="v", record="record", document="document")
 
 
 @query(

@@ -88,8 +88,17 @@ FRAG = f"""{E}, long AS (SELECT pactivity AS v, 'p_brand' AS position, p_brand A
 
 @query(
     "C15_substituent_stats",
-    f"""WITH {FRAG} SELECT position, fragment, n, round(med, 6) AS median_value, round(med_o, 6) AS median_other, round(med - med_o, 6) + 0.0 AS delta, round(least({ERFC}, 1), 5) AS p_value, round(lo, 6) AS min_value, round(hi, 6) AS max_value
-    FROM fr JOIN ot USING (position, fragment) JOIN ux USING (position, fragment)""",
+    f"""WITH RECURSIVE {FRAG},
+ need AS (SELECT DISTINCT CAST(n1 + n2 AS BIGINT) AS total, CAST(least(n1, n2) AS BIGINT) AS s FROM us WHERE least(n1, n2) BETWEEN 1 AND 8 AND ties = 0),
+ ways AS (SELECT 0::BIGINT AS k, 0::BIGINT AS j, 0::BIGINT AS u, 1::DOUBLE AS c
+   UNION ALL SELECT k, j, u, sum(c) AS c FROM (
+     SELECT k + 1 AS k, j, u, c FROM ways WHERE k < (SELECT max(total) FROM need)
+     UNION ALL SELECT k + 1, j + 1, u + k + 1, c FROM ways WHERE k < (SELECT max(total) FROM need) AND j < (SELECT max(s) FROM need)) GROUP BY k, j, u),
+ dist AS (SELECT total, s, u - s * (s + 1) // 2 AS u, c FROM need JOIN ways ON k = total AND j = s),
+ small AS (SELECT position, fragment, CAST(least(n1, n2) AS BIGINT) AS s, CAST(n1 + n2 AS BIGINT) AS total, greatest(rs - n1*(n1+1)/2, n1*n2 - (rs - n1*(n1+1)/2)) AS high FROM us WHERE least(n1, n2) BETWEEN 1 AND 8 AND ties = 0),
+ ex AS (SELECT position, fragment, least(1, 2 * sum(c) FILTER (u >= round(high)) / sum(c)) AS exact FROM small JOIN dist USING (s, total) GROUP BY 1, 2)
+    SELECT position, fragment, n, round(med, 6) AS median_value, round(med_o, 6) AS median_other, round(med - med_o, 6) + 0.0 AS delta, round(coalesce(exact, least({ERFC}, 1)), 5) AS p_value, round(lo, 6) AS min_value, round(hi, 6) AS max_value
+    FROM fr JOIN ot USING (position, fragment) JOIN ux USING (position, fragment) LEFT JOIN ex USING (position, fragment)""",
 )
 def c15(spark, d):
     return rounded(groups.substituent_stats(settle(b.entities(spark, d)), ["p_brand", "p_type", "p_size"], value="pactivity"), p_value=5)

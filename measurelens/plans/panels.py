@@ -103,7 +103,7 @@ def j19(spark, d):
 @query(
     "J22_label_reconciliation",
     """WITH a AS (SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'CONSTRUCTION' ELSE c_mktsegment END || c_nationkey AS k, avg(c_acctbal) AS x FROM customer WHERE c_nationkey > 1 GROUP BY 1),
-     c AS (SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'CONSTRUCTION' ELSE c_mktsegment END || c_nationkey AS k, round(avg(c_acctbal), 2) + CASE WHEN c_nationkey = 9 THEN 0.5 ELSE 0 END AS y FROM customer WHERE c_nationkey < 20 GROUP BY 1, c_nationkey)
+     c AS (SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'CONSTRUCTION' ELSE c_mktsegment END || c_nationkey AS k, floor(avg(c_acctbal) * 100 + 0.500001::DOUBLE) / 100 + CASE WHEN c_nationkey = 9 THEN 0.5 ELSE 0 END AS y FROM customer WHERE c_nationkey < 20 GROUP BY 1, c_nationkey)
     SELECT k AS name, round(x, 4) AS a, round(y, 4) AS b, round(x - y, 4) + 0.0 AS difference, abs(x - y) > 0.0051 AS beyond_rounding, x IS NULL OR y IS NULL AS identity_mismatch FROM a FULL JOIN c USING (k)""",
 )
 def j22(spark, d):
@@ -111,7 +111,7 @@ def j22(spark, d):
     key = F.concat("c_mktsegment", F.col("c_nationkey").cast("string"))
     renamed = F.concat(F.when(F.col("c_mktsegment") == "BUILDING", "CONSTRUCTION").otherwise(F.col("c_mktsegment")), F.col("c_nationkey").cast("string"))
     a = c.where("c_nationkey > 1").groupBy(key.alias("name")).agg(F.avg("c_acctbal").alias("a"))
-    other = c.where("c_nationkey < 20").groupBy(renamed.alias("name"), "c_nationkey").agg((F.round(F.avg("c_acctbal"), 2)).alias("y"))
+    other = c.where("c_nationkey < 20").groupBy(renamed.alias("name"), "c_nationkey").agg((F.floor(F.avg("c_acctbal") * 100 + 0.500001) / 100).alias("y"))
     other = other.select("name", (F.col("y") + F.when(F.col("c_nationkey") == 9, 0.5).otherwise(0.0)).alias("b"))
     alias = {f"BUILDING{i}": f"CONSTRUCTION{i}" for i in range(25)}
     out = compare.reconcile(a, other, key="name", alias=alias, value_a="a", value_b="b")

@@ -152,10 +152,10 @@ def r16(spark, d):
     return splits.subset(split_rows(spark, d), ids, "id").select("id", "label")
 
 
-@query("R17_seeded_sample", f"SELECT o_orderkey AS id FROM orders ORDER BY {HASH.format("'42:' || o_orderkey")}, o_orderkey LIMIT 2000")
+@query("R17_seeded_sample", f"SELECT o_orderkey AS id FROM orders WHERE {HASH.format("'42:' || o_orderkey")}::DOUBLE / 4503599627370496 < 0.1")
 def r17(spark, d):
-    """The chart sample: a seeded draw above a cap is the feature itself."""
-    return splits.sample_rows(b.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), identifier="id", cap=2000)
+    """The chart sample: a seeded draw is the feature itself."""
+    return splits.sample_rows(b.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), identifier="id", fraction=0.1)
 
 
 @query(

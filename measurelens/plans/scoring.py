@@ -213,7 +213,7 @@ def r11a(spark, d):
 
 @query(
     "R11_block_bootstrap",
-    f"""WITH {BLOCKS}, o AS (SELECT *, rank() OVER (ORDER BY {HASH.format("'42:order:' || block")}) - 1 AS slot, count(*) OVER () AS slots FROM bl), r AS (SELECT unnest(range(1, 41)) AS rep),
+    f"""WITH {BLOCKS}, o AS (SELECT *, rank() OVER (ORDER BY {HASH.format("'42:order:' || block")}) - 1 AS slot, count(*) OVER () AS slots FROM bl), r AS (SELECT unnest(range(1, 501)) AS rep),
      dr AS (SELECT rep, CAST(floor({HASH.format("'42:' || rep || ':' || slot")}::DOUBLE / 4503599627370496 * slots) AS BIGINT) AS slot FROM o, r),
      sm AS (SELECT rep, sum(n) AS n, sum(y) AS y, sum(yy) AS yy, sum(ee) AS ee, sum(ae) AS ae, sum(bb) AS bb FROM dr JOIN o USING (slot) GROUP BY 1),
      al AS (SELECT * FROM sm UNION ALL SELECT 0, sum(n), sum(y), sum(yy), sum(ee), sum(ae), sum(bb) FROM bl),
@@ -222,7 +222,7 @@ def r11a(spark, d):
 )
 def r11(spark, d):
     blocks = metrics.block_sums(b.predictions(spark, d), block="block", row="id", truth="truth", prediction="prediction", baseline="baseline")
-    return rounded(metrics.block_bootstrap(blocks, repeats=40), 5)
+    return rounded(metrics.block_bootstrap(blocks, repeats=500), 5)
 
 
 @query(

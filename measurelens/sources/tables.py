@@ -145,8 +145,9 @@ def write_results(spark: SparkSession, tables: dict[str, DataFrame], folder: str
 def verify_manifest(spark: SparkSession, folder: str, manifest: dict[str, str]) -> None:
     """Compare the sha256 of each listed file before anything is loaded from it."""
     paths = [f"{folder.rstrip('/')}/{name}" for name in manifest]
-    files = spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha"))
-    found = {r["name"]: r["sha"] for r in files.collect()}  # one row per file of the manifest
-    bad = sorted(n for n, sha in manifest.items() if found.get(n.split("/")[-1]) != sha)
+    files = spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("sha"))
+    found = [(r["path"], r["sha"]) for r in files.collect()]  # one row per file of the manifest
+    root = "/" + folder.rstrip("/").split("/")[-1] + "/"
+    bad = sorted(n for n, sha in manifest.items() if sha not in [s for p, s in found if p.endswith(root + n)])
     if bad:
         raise ValueError(f"content differs from the manifest: {bad}")
