@@ -153,3 +153,29 @@ def masked(text: Column, found: Column) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], gap).alias("out"))
 
     return F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, begin, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body)))))
+
+
+def _sql() -> str:
+    """The same spans from the pieces between matches, one rule at a time."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    parts = []
+    for rank, rule in enumerate(RULES):
+        pattern = quote(rule.pattern.replace("(?i:password|passwd|secret|token|api_?key)", "(?:(?i)password|passwd|secret|token|api_?key(?-i))"))
+        keep = f" WHERE regexp_matches(hit, {quote(rule.keep)})" if rule.keep else ""
+        parts.append(
+            f"SELECT doc_id, {rank} AS rank, '{rule.name}' AS kind, pos AS first, pos + length(hit) AS past FROM ("
+            f"SELECT doc_id, hits[i] AS hit, list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)::BIGINT AS pos FROM ("
+            f"SELECT doc_id, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM ("
+            f"SELECT doc_id, string_split_regex(body, {pattern}) AS gaps, regexp_extract_all(body, {pattern}) AS hits FROM t))){keep}"
+        )
+    base = ", ".join(quote(r.name) for r in BASE)
+    listing = "string_agg(kind || ':' || first || ':' || past, ',' ORDER BY first, rank, past)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.name}') AS n_{r.name}" for r in BASE)
+    return (
+        "WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents), s AS (" + " UNION ALL ".join(parts) + f"), g AS (SELECT doc_id, {counts}, "
+        f"{listing} FILTER (kind IN ({base})) AS base, {listing} AS spans FROM s GROUP BY doc_id) "
+        f"SELECT t.doc_id, {', '.join(f'coalesce(n_{r.name}, 0) AS n_{r.name}' for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (doc_id)"
+    )
+
+
+SQL = _sql()
