@@ -43,10 +43,28 @@ REGRESSORS = {
     "random_forest": lambda seed: RandomForestRegressor(numTrees=200, maxDepth=15, seed=seed),
     "small_forest": lambda seed: RandomForestRegressor(numTrees=20, maxDepth=5, seed=seed),
     "gradient_boosting": lambda seed: GBTRegressor(seed=seed),
-    "ridge": lambda seed: LinearRegression(regParam=1.0, elasticNetParam=0.0),
+    "ridge": lambda seed: Ridge(),
 }
 
 
+class Ridge:
+    """Least squares plus ``penalty`` times the sum of squared coefficients, however many rows there are.
+
+    Spark divides the squared errors by twice their number, hence the penalty per row.
+    """
+
+    def __init__(self, penalty: float = 10.0):
+        self.penalty, self.label = penalty, "label"
+
+    def setLabelCol(self, label: str) -> Ridge:
+        self.label = label
+        return self
+
+    def fit(self, rows: DataFrame):
+        share = self.penalty / max(1, rows.count())
+        return LinearRegression(regParam=share, elasticNetParam=0.0, standardization=False).setLabelCol(self.label).fit(rows)
+
+
 def perceptron(layers: Sequence[int], seed: int = 42) -> MultilayerPerceptronClassifier:
     return MultilayerPerceptronClassifier(layers=list(layers), seed=seed)
 

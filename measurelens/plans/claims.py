@@ -228,11 +228,11 @@ def j16(spark, d):
      fo AS (SELECT op.*, pat.id AS fid FROM op LEFT JOIN pat ON pat.core = op.core AND pat.position = op.position AND pat.context = op.context AND pat.fragment = op.fragment_to WHERE coalesce(holders, 0) <= 1),
      td AS (SELECT * FROM fo WHERE NOT EXISTS (SELECT 1 FROM me WHERE me.entity = fid AND me.assay = fo.assay AND me.endpoint = fo.endpoint AND me.variant = fo.variant))
     SELECT CASE WHEN any_value(fid) IS NOT NULL THEN 'Measure existing analogue' ELSE 'Complete missing analogue' END AS action, core, position, min(other_position) AS other_position, context, fragment_to AS proposed_fragment, assay, endpoint, variant,
-      coalesce(any_value(fid), '') AS existing_id, min(id_from || ';' || id_to || ';' || third_id) IS NOT NULL AS supported FROM td GROUP BY core, position, context, fragment_to, assay, endpoint, variant""",
+      coalesce(any_value(fid), '') AS existing_id, min({{'a': id_from, 'b': id_to, 'c': third_id}}).a || ';' || min({{'a': id_from, 'b': id_to, 'c': third_id}}).b || ';' || min({{'a': id_from, 'b': id_to, 'c': third_id}}).c AS supporting_ids FROM td GROUP BY core, position, context, fragment_to, assay, endpoint, variant""",
 )
 def j17(spark, d):
     out = stress.missing_corners(_resolved(spark, d, joint=False), _patterns(spark, d), _measured(spark, d), b.series(spark, d), core=["core"], positions=POSITIONS, entity="id")
-    return out.select("action", "core", "position", "other_position", "context", "proposed_fragment", "assay", "endpoint", "variant", "existing_id", (F.length("supporting_ids") > 0).alias("supported"))
+    return out.select("action", "core", "position", "other_position", "context", "proposed_fragment", "assay", "endpoint", "variant", "existing_id", "supporting_ids")
 
 
 @query(

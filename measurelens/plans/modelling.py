@@ -89,13 +89,20 @@ def f5(spark, d):
     return rounded(screened(spark, d)[1])
 
 
-@query("F5_missing_counts", f"WITH {EMB} SELECT id, CAST(0 AS BIGINT) AS missing_retained FROM f GROUP BY 1")
+@query(
+    "F5_missing_counts",
+    f"""WITH {SCREEN} SELECT bk.id, count(*) FILTER (sc.retained AND bk.feature = 7 AND bk.label = 0) AS missing_retained FROM bk JOIN sc USING (feature) GROUP BY 1""",
+)
 def f5b(spark, d):
     rows, fitted = screened(spark, d)
     return features.missing_counts(rows, fitted, "id", "block")
 
 
-@query("C52_empty_blocks", "SELECT 'Filtering retained no columns for: 3' AS warning FROM embeddings LIMIT 1")
+@query(
+    "C52_empty_blocks",
+    f"""WITH {SCREEN}, e AS (SELECT CAST(CAST(block AS BIGINT) AS VARCHAR) AS block FROM sc GROUP BY block HAVING NOT bool_or(retained))
+    SELECT CASE WHEN count(*) > 0 THEN 'Filtering retained no columns for: ' || string_agg(block, ', ' ORDER BY block) ELSE '' END AS warning FROM e""",
+)
 def c52(spark, d):
     return features.empty_blocks(screened(spark, d)[1], "block")
 
@@ -220,9 +227,9 @@ def m6(spark, d):
 
 @query("M7_permutation_importance")
 def m7(spark, d):
-    rows = settle(features.take_features(_target(spark, d), "x", list(range(8)), width=WIDTH))
+    rows = settle(features.take_features(_target(spark, d), "x", list(range(WIDTH)), width=WIDTH))
     model = models.REGRESSORS["ridge"](42).setLabelCol("y").fit(rows)
-    return models.permutation_importance(model, rows, row="id", target="y", width=8, repeats=2)
+    return models.permutation_importance(model, rows, row="id", target="y", width=WIDTH, repeats=5)
 
 
 @query("M7_impurity_importance")

@@ -227,13 +227,13 @@ def r11(spark, d):
 
 @query(
     "R12_permutation_p",
-    f"""WITH {P}, rp AS (SELECT id, truth, prediction, unnest(range(1, 6)) AS rep FROM p), a AS (SELECT rep, id, rank() OVER (PARTITION BY rep ORDER BY {HASH.format("'42:row:' || rep || ':' || id")}) AS k FROM rp), c AS (SELECT rep, truth, rank() OVER (PARTITION BY rep ORDER BY {HASH.format("'42:value:' || rep || ':' || id")}) AS k FROM rp),
+    f"""WITH {P}, rp AS (SELECT id, truth, prediction, unnest(range(1, 101)) AS rep FROM p), a AS (SELECT rep, id, rank() OVER (PARTITION BY rep ORDER BY {HASH.format("'42:row:' || rep || ':' || id")}) AS k FROM rp), c AS (SELECT rep, truth, rank() OVER (PARTITION BY rep ORDER BY {HASH.format("'42:value:' || rep || ':' || id")}) AS k FROM rp),
      s AS (SELECT rep, corr(c.truth, p.prediction) AS q FROM a JOIN c USING (rep, k) JOIN p USING (id) GROUP BY 1), o AS (SELECT corr(truth, prediction) AS q FROM p)
     SELECT round(max(o.q), 5) AS observed, count(*) AS permutations, round((1 + count(*) FILTER (s.q >= o.q))::DOUBLE / (1 + count(*)), 6) AS p_value FROM s, o""",
 )
 def r12(spark, d):
     p = b.predictions(spark, d)
-    shuffled = metrics.permuted_labels(p, row="id", value="truth", repeats=5)
+    shuffled = metrics.permuted_labels(p, row="id", value="truth", repeats=100)
     scores = shuffled.join(p.select("id", "prediction"), "id").groupBy("rep").agg(F.corr("truth", "prediction").alias("q"))
     return rounded(metrics.permutation_p(p.agg(F.corr("truth", "prediction").alias("q")), scores, "q"), p_value=6, observed=5)
 
