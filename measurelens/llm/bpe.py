@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from measurelens.llm.texts import documents, joined, name_of, pieces, prefix_codes, ragged, raw, span_codes
+from measurelens.llm.texts import documents, joined, name_of, pieces, prefix_codes, ragged, raw, share, span_codes
 
 SLAB = 6_000_000  # bytes of text whose words are merged together
 NONE = np.int32(2**31 - 1)
@@ -273,10 +273,10 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", carry=None,
     rows = docs.select(F.coalesce(name_of(text).cast("string"), F.lit("")).alias("_text"), *[name_of(c).alias(f"_k{i}") for i, c in enumerate(carry)])
     schema = T.StructType([*[T.StructField(f"_k{i}", rows.schema[f"_k{i}"].dataType) for i in range(len(carry))], T.StructField("ids", T.ArrayType(T.IntegerType()))])
     names = schema.fieldNames()
-    shared = docs.sparkSession.sparkContext.broadcast((Vocabulary(vocabulary), char_classes()))
+    shared = share(docs.sparkSession, (Vocabulary(vocabulary), char_classes()))
 
     def run(batches):
-        encoder, held, size = Encoder(*shared.value), [], 0
+        encoder, held, size = Encoder(*shared()), [], 0
 
         def flush():
             for piece, ids in zip(held, encoder([p.column(0) for p in held])):
@@ -302,10 +302,10 @@ def decode(df: DataFrame, vocabulary: str, *, ids: str = "ids", carry=None) -> D
     rows = df.select(name_of(ids).cast("array<int>").alias("_ids"), *[name_of(c).alias(f"_k{i}") for i, c in enumerate(carry)])
     schema = T.StructType([*[T.StructField(f"_k{i}", rows.schema[f"_k{i}"].dataType) for i in range(len(carry))], T.StructField("decoded", T.StringType())])
     names = schema.fieldNames()
-    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary).token_bytes)
+    shared = share(df.sparkSession, Vocabulary(vocabulary).token_bytes)
 
     def run(batches):
-        tokens = pa.array(shared.value, pa.large_binary())
+        tokens = pa.array(shared(), pa.large_binary())
         flat, offsets = raw(tokens)
         size = np.diff(offsets)
         for batch in batches:

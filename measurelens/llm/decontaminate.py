@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from measurelens.llm.texts import ALNUM, LOWER, Words, map_texts, name_of, prefix_codes, ragged, span_codes
+from measurelens.llm.texts import ALNUM, LOWER, Words, map_texts, name_of, prefix_codes, ragged, share, span_codes
 from measurelens.operators.common import settle
 
 WINDOW = 10
@@ -190,7 +190,7 @@ def decontaminate(
     for block in range(blocks):
         # one row more than its share of bytes at most: the block was sized above
         part = rows.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast(Matcher([(r.i, r.t) for r in part], window))
+        shared = share(spark, Matcher([(r.i, r.t) for r in part], window))
         source = docs if out is None else settle(out)
         before = out is not None
         keep = list(docs.columns if carry is None else carry)
@@ -216,8 +216,10 @@ def _merge(ranges):
 
 
 def _start(shared):
+    matcher = shared()
+
     def work(col):
-        count, ranges, items = shared.value(col)
+        count, ranges, items = matcher(col)
         return [
             pa.array(count, pa.int64()),
             pa.array([[{"lo": a, "hi": b} for a, b in merged(r)] for r in ranges], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from measurelens.llm.texts import SPACED, Words, documents, joined, learn_bucket, map_texts, mix, name_of
+from measurelens.llm.texts import SPACED, Words, documents, joined, learn_bucket, map_texts, mix, name_of, share
 from measurelens.operators.common import settle
 
 MAX_ROWS = 40_000
@@ -189,11 +189,12 @@ def score(docs: DataFrame, model: dict, *, text: str = "text", carry=None) -> Da
     if "level" in model:
         carry = docs.columns if carry is None else carry
         return docs.select(*[name_of(c) for c in carry if c.lower() != "score"], F.lit(float(model["level"])).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def start():
+        m = shared()
+
         def work(col):
-            m = shared.value
             return [pa.array(np.interp(m["waves"](statistics(col)) @ m["weights"], *m["curve"]))]
 
         return work

@@ -7,17 +7,19 @@ bounded by that piece (or by the longest single text).
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Bytes of text that are worked on at once.
-PIECE = 2_000_000
+PIECE = 600_000
 
 # 1 for bytes of a word.  Bytes from 0x80 on belong to letters beyond ASCII.
 SPACED = np.ones(256, np.bool_)
@@ -32,6 +34,15 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: list[np.ndarray] = []
 
 
+def share(spark, value) -> Callable:
+    """Broadcast a value; the result is called in a task to get it there.
+
+    It travels with its classes, so workers need no installed copy.
+    """
+    box = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(box.value)
+
+
 def name_of(column: str):
     return F.col(f"`{column}`")
 
