@@ -29,21 +29,25 @@ import gc
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from measurelens.llm.components import components
 from measurelens.llm.texts import SPACED, Words, documents, mix, name_of, pieces, shingle_codes, slabs
+from measurelens.llm.texts import share as sent
 from measurelens.operators.common import settle
 
 WIDTH = 5
 SHARE = (3, 4)  # similar: intersection / union >= 3 / 4
-SLAB = 16_000_000  # bytes of text whose signatures travel together
+SLAB = 4_000_000  # bytes of text whose signatures travel together
 OFTEN = 8  # sets of one slab that hold a feature before it may count as frequent
 FREQUENT = 500_000  # frequent features at most; the list only orders the parts
 MAP_BITS = 1 << 23  # of the bit map of wanted ids
 BLOCK = 1000
+NEAREST = 2
+FEW = 3
+HELD = 500_000  # pairs that a task holds before it hands them on
 CROWD = 8  # members of a signature that are paired at once
 
 _EMPTY = np.zeros(0, np.int64)
@@ -193,17 +197,19 @@ BLOBS = T.StructType(
 
 def signature_blobs(rows: DataFrame, frequent: np.ndarray, ranges: int, width: int, share) -> DataFrame:
     """For every slab and range of codes one row of packed (key, size, signatures)."""
-    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+    shared = sent(rows.sparkSession, frequent)
 
     def run(batches):
+        frequent = None
         for slab in slabs(batches, SLAB):
+            frequent = shared() if frequent is None else frequent
             held = []
             for piece in slab:
                 owner, code, size = sets_of(piece.column(0), width)
                 if not len(code):
                     continue
                 key = set_keys(owner, code, size)
-                who, lower, count, sig = signatures(owner, code, size, bands(int(size.max()), share), shared.value, share)
+                who, lower, count, sig = signatures(owner, code, size, bands(int(size.max()), share), frequent, share)
                 held.append((key[who], np.where(lower, -size[who], size[who]), count, sig))
             if not held:
                 continue
@@ -308,58 +314,37 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, common, size_a, size_b) of every pair, by the full sets."""
     left = sets.select(F.col("key").alias("a"), F.col("codes").alias("codes_a"))
     right = sets.select(F.col("key").alias("b"), F.col("codes").alias("codes_b"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "codes_a", "codes_b")
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b", "common", "size_a", "size_b")])
+    rows = pairs.join(left, "a").join(right, "b")
+    count = lambda c: F.size(c).cast("long")
+    return rows.select("a", "b", count(F.array_intersect("codes_a", "codes_b")).alias("common"), count("codes_a").alias("size_a"), count("codes_b").alias("size_b"))
 
-    def run(batches):
-        for batch in batches:
-            found = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                found.append((int((large[at] == small).sum()), len(x), len(y)))
-            common, n, m = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, pa.int64()) for v in (common, n, m)]], schema.fieldNames())
-
-    return rows.mapInArrow(run, schema)
-
-
-def may_hold(wanted: DataFrame, column: str):
-    """A condition that is true for all values in ``wanted`` and for few others, from a bit map of fixed size."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
-    words = wanted.select(place(column).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("bits"))
-    bits = np.zeros(MAP_BITS // 32, np.uint32)
-    for r in words.toLocalIterator():  # MAP_BITS / 32 rows at most
-        bits[r.w] = r.bits
-    shared = wanted.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def held(p: pd.Series) -> pd.Series:
-        at = p.to_numpy()
-        return pd.Series((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
 
-    return held(place(column))
+def likely(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The rows whose value is in ``wanted``, and few others, by a bit map of fixed size (``MAP_BITS`` / 32 words at most)."""
+    place = F.pmod(F.xxhash64(column), F.lit(MAP_BITS)).cast("int")
+    bit = F.expr("shiftleft(1L, pmod(_p, 32))")
+    words = wanted.select(place.alias("_p")).groupBy(F.shiftright("_p", 5).alias("_w")).agg(F.bit_or(bit).alias("_bits"))
+    marked = rows.withColumn("_p", place).withColumn("_w", F.shiftright("_p", 5))
+    return marked.join(F.broadcast(words), "_w").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_p", "_w", "_bits")
 
 
 def load_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(key, codes) for the texts whose ``_id`` is in ``wanted``; codes are sorted.
+    """(key, codes) for the texts whose ``_id`` is in ``wanted``.
 
     Equal ids with different texts may bring sets that were not asked for: they
     join with nothing.
     """
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("codes", T.BinaryType())])
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("codes", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in batches:
             for piece in pieces(batch, 0):
                 owner, code, size = sets_of(piece.column(0), width)
-                ends = np.cumsum(size)
-                key = set_keys(owner, code, size)
-                blob = [code[e - n : e].tobytes() for e, n in zip(ends.tolist(), size.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(blob, pa.binary())], schema.fieldNames())
+                offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+                codes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(code.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(owner, code, size)), codes], schema.fieldNames())
 
-    return rows.where(may_hold(wanted, "_id")).join(wanted, "_id", "left_semi").select("_text").mapInArrow(run, schema)
+    return likely(rows, wanted, "_id").join(wanted, "_id", "left_semi").select("_text").mapInArrow(run, schema)
 
 
 def close_pairs(pairs: DataFrame, counts: DataFrame, share) -> DataFrame:
@@ -382,24 +367,38 @@ def close_pairs(pairs: DataFrame, counts: DataFrame, share) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def open_pairs(crowded: DataFrame, counts: DataFrame, roots: DataFrame, share) -> DataFrame:
+def open_pairs(crowded: DataFrame, counts: DataFrame, roots: DataFrame, share, turn: int | None = None) -> DataFrame:
     """Close pairs of members of a crowded signature that are in different components.
 
+    With ``turn`` only each member's ``NEAREST`` closest partners by bucket counts,
+    in ``FEW`` of its signatures, others at each turn and the same for sets that
+    share them.
+
     A crowded signature is cut into blocks of about ``BLOCK`` members; a pair of
-    blocks is one piece of work.
+    blocks is one piece of work (with j < 0 for those of the largest component).
     """
     num, den = share
-    members = crowded.select("sig", F.col("b").alias("key"), F.col("size_b").alias("z"))
+    members = crowded.select("sig", "a", F.col("b").alias("key"), F.col("size_b").alias("z"))
+    if turn is not None:
+        members = members.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "sig"), "z"))).where(F.col("_n") <= FEW).drop("_n")
     members = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = members.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("load")).where("r0 <> r1")
+    # the largest component of a signature needs no pairs of its own: its members meet the others only
+    per = members.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = per.groupBy("sig").agg(F.max(F.struct("n", "root")).alias("t"), F.sum("n").alias("load"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    twofold = lambda c: F.pow(F.lit(2), F.ceil(F.log2(F.greatest(c / BLOCK, F.lit(1))))).cast("int")
     # written, so that the join deals both sides anew and Spark can split a very crowded signature
-    mixed = settle(mixed.select("sig", F.ceil(F.col("load") / BLOCK).cast("int").alias("blocks")))
+    mixed = settle(mixed.select("sig", F.col("t.root").alias("major"), twofold(F.col("load") - F.col("t.n")).alias("blocks"), twofold(F.col("t.n")).alias("chunks")))
     members = members.join(mixed, "sig").join(counts.select("key", "counts"), "key")
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "z", "root", "counts")
+    place = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    among = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    across = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.col("own").alias("i"), (-1 - c).alias("j")))
+    large = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("i"), (-1 - place(F.col("chunks"))).alias("j")))
+    members = members.withColumn("own", F.when(F.col("root") == F.col("major"), -1).otherwise(place(F.col("blocks"))))
+    members = members.withColumn("u", F.explode(F.when(F.col("own") < 0, large).otherwise(F.concat(among, across))))
+    members = members.select("sig", F.xxhash64("a", F.pmod("sig", F.lit(2))).alias("near"), "u.i", "u.j", "own", "key", "z", "root", "counts")
     parts = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    # signatures with the same first member hold much the same sets: together, a pair of theirs is told once
+    dealt = members.repartition(parts, "near", "i", "j").drop("near").sortWithinPartitions("sig", "i", "j")
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b")])
 
     def work(group: pa.Table):
@@ -413,22 +412,34 @@ def open_pairs(crowded: DataFrame, counts: DataFrame, roots: DataFrame, share) -
         out_a, out_b = [], []
         for x in range(len(key)):
             row = np.frombuffer(counts[x], np.uint8)
+            partners, gaps = [_EMPTY], [_EMPTY]
             for w, at in by_width.items():
-                fits = (key[at] > key[x]) & (root[at] != root[x]) & (up[at] | up[x]) & (np.minimum(size[at], size[x]) * den >= np.maximum(size[at], size[x]) * num)
+                fits = ((key[at] > key[x]) if turn is None else True) & (root[at] != root[x]) & (up[at] | up[x]) & (np.minimum(size[at], size[x]) * den >= np.maximum(size[at], size[x]) * num)
                 if not one_block:
                     fits &= own[at] != own[x]
                 some = np.flatnonzero(fits)
                 if not len(some):
                     continue
-                close = least_difference(row, stacked[w][some]) * (den + num) <= (size[at[some]] + size[x]) * (den - num)
-                hit = at[some[close]]
-                out_a.append(np.full(len(hit), key[x]))
-                out_b.append(key[hit])
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], schema.fieldNames())
+                gap = least_difference(row, stacked[w][some])
+                close = gap * (den + num) <= (size[at[some]] + size[x]) * (den - num)
+                partners.append(at[some[close]])
+                gaps.append(gap[close])
+            hit = np.concatenate(partners)
+            if turn is not None:
+                hit = hit[np.argsort(np.concatenate(gaps), kind="stable")[:NEAREST]]
+            out_a.append(np.minimum(key[hit], key[x]))
+            out_b.append(np.maximum(key[hit], key[x]))
+        return once([np.stack((np.concatenate(out_a), np.concatenate(out_b)))])
+
+    def once(found):
+        return np.unique(np.concatenate(found, axis=1), axis=1)
+
+    def told(found):
+        for a in range(0, found.shape[1], 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(found[0, a : a + 50_000]), pa.array(found[1, a : a + 50_000])], schema.fieldNames())
 
     def run(batches):
-        rest = None
+        rest, found = None, [np.zeros((2, 0), np.int64)]
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = table if rest is None else pa.concat_tables([rest, table])
@@ -436,11 +447,15 @@ def open_pairs(crowded: DataFrame, counts: DataFrame, roots: DataFrame, share) -
             where = [table.column(n).to_numpy() for n in ("sig", "i", "j")]
             new = np.flatnonzero(np.logical_or.reduce([w[1:] != w[:-1] for w in where])) + 1
             cuts = [0, *new.tolist()]
-            for a, b in zip(cuts, cuts[1:]):
-                yield from work(table.slice(a, b - a))
+            found += [work(table.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
             rest = table.slice(cuts[-1])
+            found = [once(found)]
+            if found[0].shape[1] > HELD:
+                yield from told(found.pop())
+                found = [np.zeros((2, 0), np.int64)]
         if rest is not None and rest.num_rows:
-            yield from work(rest.combine_chunks())
+            found.append(work(rest.combine_chunks()))
+        yield from told(once(found))
 
     return dealt.mapInArrow(run, schema).distinct()
 
@@ -473,10 +488,14 @@ def similar_links(rows: DataFrame, seen: DataFrame, *, width: int = WIDTH, share
     links = linked(settle(close_pairs(met.where("sig is null").select("a", "b").distinct(), counts, share)))
     swept(spark)
     crowded = met.where("sig is not null")
-    rest = settle(open_pairs(crowded, counts, components(links), share))
-    if rest.isEmpty():
-        return links
-    return links.unionByName(linked(rest))
+    # first the closest partners, which as a rule joins all that belongs together, then whatever is still open
+    for turn in (0, 1, None):
+        rest = settle(open_pairs(crowded, counts, components(links), share, turn))
+        if rest.isEmpty():
+            continue
+        links = links.unionByName(linked(rest))
+        swept(spark)
+    return links
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, share=SHARE, crowd: int = CROWD) -> DataFrame:
@@ -499,3 +518,24 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
 def op3(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT doc_id, doc_id AS o FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.o
+)
+SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(o) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""

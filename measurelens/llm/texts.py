@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Bytes of text that are worked on at once.
-PIECE = 600_000
+PIECE = 400_000
 
 # 1 for bytes of a word.  Bytes from 0x80 on belong to letters beyond ASCII.
 SPACED = np.ones(256, np.bool_)
