@@ -14,11 +14,16 @@ from measurelens.llm.texts import learn_bucket
 from measurelens.operators.common import settle
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """The text and all columns as one, so that no column clashes with a result."""
+    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
 def reject_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with a toxicity score of at least 0.5; the model learns from the labelled ones among ``docs``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, learn_bucket(F.col("doc_id"), 5) != 0, label="toxic")
-    return toxicity.score(docs.drop("score"), model).where("score < 0.5").select(docs.columns)
+    return toxicity.score(whole(docs), model, carry=["_row"]).where("score < 0.5").select("_row.*")
 
 
 def deduplicate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,17 +41,18 @@ def deduplicate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean_benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("hit_ranges") == 0).select(docs.columns)
+    found = decontaminate.decontaminate(whole(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["_row"])
+    return found.where(F.size("hit_ranges") == 0).select("_row.*")
 
 
 def mask_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret by its kind in angle brackets and count the characters anew; all documents stay."""
-    found = secrets.findings(docs, secrets.scan(docs))
+    found = secrets.findings(whole(docs), secrets.scan(docs))
     masked = found.withColumn("text", secrets.masked(F.col("text"), F.col("spans")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return masked.select(docs.columns)
+        new["n_chars"] = F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType)
+    return masked.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

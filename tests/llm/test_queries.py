@@ -69,4 +69,6 @@ def test_pipeline_odd_rows(spark, sf_dir, odd_docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir))
         assert docs.columns == odd_docs.columns
+    clash = docs.select("SCORE", "ids", "spans", "n_words", "fingerprint").distinct().collect()
+    assert [tuple(r) for r in clash] == [(0.5, "clash", 7, "clash", 1)]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count() > 0
