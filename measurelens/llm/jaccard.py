@@ -329,7 +329,7 @@ def likely(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
 
 
 def load_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(key, codes) for the texts whose ``_id`` is in ``wanted``.
+    """(key, codes) for the texts whose ``_id`` is in ``wanted`` (key, _id); where ``_id`` is null, for those whose key is.
 
     Equal ids with different texts may bring sets that were not asked for: they
     join with nothing.
@@ -344,7 +344,13 @@ def load_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 codes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(code.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(set_keys(owner, code, size)), codes], schema.fieldNames())
 
-    return likely(rows, wanted, "_id").join(wanted, "_id", "left_semi").select("_text").mapInArrow(run, schema)
+    known, nameless = wanted.where("_id is not null"), wanted.where("_id is null").select("key")
+    named = likely(rows.where("_id is not null"), known, "_id").join(known, "_id", "left_semi").select("_text").mapInArrow(run, schema)
+    if nameless.isEmpty():
+        return named
+    # a text without id is found by its set; copies are one
+    others = likely(rows.where("_id is null").select("_text").mapInArrow(run, schema), nameless, "key").dropDuplicates(["key"])
+    return named.unionByName(others.join(nameless, "key", "left_semi"))
 
 
 def close_pairs(pairs: DataFrame, counts: DataFrame, share) -> DataFrame:
@@ -476,12 +482,12 @@ def similar_links(rows: DataFrame, seen: DataFrame, *, width: int = WIDTH, share
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = settle(meet(signature_blobs(rows, frequent, ranges, width, share).repartitionById(ranges, F.col("range")), share, crowd))
     swept(spark)
-    counts = settle(seen.where("code is null and n > 0").groupBy("key").agg(F.min(F.struct("_id", "n", "counts")).alias("r")).select("key", "r.*"))
+    counts = settle(seen.where("code is null and n > 0").groupBy("key").agg(F.min(F.struct(F.isnull("_id").alias("_no_id"), "_id", "n", "counts")).alias("r")).select("key", "r._id", "r.n", "r.counts"))
     similar = F.col("common") * den >= (F.col("size_a") + F.col("size_b") - F.col("common")) * num
 
     def linked(pairs: DataFrame) -> DataFrame:
         keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        wanted = settle(counts.join(keys, "key", "left_semi").select("_id"))
+        wanted = settle(counts.join(keys, "key", "left_semi").select("key", "_id"))
         sets = settle(load_sets(rows, wanted, width))
         return settle(compare(pairs, sets).where(similar).select("a", "b").distinct())
 

@@ -89,6 +89,21 @@ def test_jaccard_near_copies(spark):
     assert sorted(got) == sorted(plain.components(rows))
 
 
+def test_jaccard_copies_without_id(spark):
+    """A row without id takes no link from its copies, and a chain may run through it."""
+    base = [f"b{i}" for i in range(100)]
+
+    def edited(*places):
+        return " ".join("e%d" % i if i in places else w for i, w in enumerate(base))
+
+    rows = [(1, edited()), (None, edited()), (None, edited()), (2, edited(50)), (3, edited(50, 10)), (None, edited(50, 10, 90)), (4, edited(50, 10, 90, 30)), (5, "all else")]
+    far = [f"f{i}" for i in range(40)]
+    rows += [(7, " ".join(far)), (None, " ".join([*far[:37], *"xyz"])), (8, " ".join([*far[3:37], *"xyzuvw"]))]
+    got = [tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=key) == sorted(plain.components(rows), key=key)
+    assert dict(r[::2] for r in got)[8] == 7
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
