@@ -231,7 +231,7 @@ def signature_blobs(rows: DataFrame, frequent: np.ndarray, ranges: int, width: i
                         pa.array([r], pa.int32()),
                         pa.array([key[who].tobytes()], pa.binary()),
                         pa.array([size[who].astype(np.int32).tobytes()], pa.binary()),
-                        pa.array([np.diff(np.append(new, len(e))).astype(np.uint16).tobytes()], pa.binary()),
+                        pa.array([np.diff(np.append(new, len(e))).astype(np.uint32).tobytes()], pa.binary()),
                         pa.array([sig[mine].tobytes()], pa.binary()),
                     ],
                     BLOBS.fieldNames(),
@@ -261,7 +261,7 @@ def meet(blobs: DataFrame, share, crowd: int) -> DataFrame:
             for row in batch.to_pylist():
                 keys.append(np.frombuffer(row["keys"], np.int64))
                 sizes.append(np.frombuffer(row["sizes"], np.int32))
-                counts.append(np.frombuffer(row["counts"], np.uint16))
+                counts.append(np.frombuffer(row["counts"], np.uint32))
                 sigs.append(np.frombuffer(row["sigs"], np.uint64))
         if not keys:
             return

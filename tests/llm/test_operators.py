@@ -104,6 +104,17 @@ def test_jaccard_copies_without_id(spark):
     assert dict(r[::2] for r in got)[8] == 7
 
 
+def test_jaccard_text_of_many_signatures(spark):
+    """One text may have more signatures in a range of codes than 16 bits count."""
+    import numpy as np
+
+    long = [f"w{i}" for i in range(260_000)]
+    rows = spark.createDataFrame([(" ".join(long),), (" ".join([*long[:-1], "other"]),)], "_text string").coalesce(1)
+    blobs = jaccard.signature_blobs(rows, np.zeros(0, np.uint64), 1, jaccard.WIDTH, jaccard.SHARE)
+    assert max(len(r.sigs) // 8 for r in blobs.collect()) > 2 * 65_535
+    assert jaccard.meet(blobs, jaccard.SHARE, jaccard.CROWD).where("sig is null").count() == 1
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
