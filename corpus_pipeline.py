@@ -6,7 +6,9 @@ and returns a DataFrame; all but the last return the columns of ``docs``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from measurelens.llm import bpe, decontaminate, jaccard, secrets, toxicity
@@ -27,16 +29,27 @@ def reject_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of similar ones: that of the smallest id.
+    """Keep one row of each group of similar texts: that of the smallest id, then of the smallest text; null ids come last.
 
-    Of rows with the same id the one with the smallest text stays.  Documents
-    without an id are kept.
+    Rows are told apart by their texts, not by their ids.  Texts without words
+    resemble nothing, so all of them stay.
     """
-    found = jaccard.jaccard_components(docs)
-    keep = settle(found.where("doc_id = component_id").select("doc_id").distinct())
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *[F.col(c).cast("string").asc_nulls_last() for c in docs.columns if c != "text"])
-    known = docs.join(keep, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
-    return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    order = ["doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
+    sortable = [c for c in order if not re.search("map<|variant", docs.schema[c].dataType.simpleString())]
+    odd = [c for c in order if c not in sortable]
+    _, roots = jaccard.similar_sets(docs)
+    rows = jaccard.with_sets(whole(docs), carry=["_row"])
+    alone = F.xxhash64(F.lit("no words"), F.monotonically_increasing_id())
+    rows = rows.select(
+        F.when(F.col("n_shingles") > 0, F.col("set_key")).otherwise(alone).alias("node"),
+        F.struct(*[x for i, c in enumerate(sortable) for x in (F.col(f"_row.`{c}`").isNull().alias(f"n{i}"), F.col(f"_row.`{c}`").alias(f"v{i}"))]).alias("_first"),
+        F.struct(F.lit(0).alias("_"), *[F.col(f"_row.`{c}`").alias(f"o{i}") for i, c in enumerate(odd)]).alias("_odd"),
+    )
+    kept = [F.min("_first").alias("_first"), *([F.min_by("_odd", "_first").alias("_odd")] if odd else [])]
+    # copies first, so that the join meets every set once
+    one = rows.groupBy("node").agg(*kept).join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(*kept)
+    values = {c: F.col(f"_first.v{i}") for i, c in enumerate(sortable)} | {c: F.col(f"_odd.o{i}") for i, c in enumerate(odd)}
+    return one.select(*[values[c].alias(c) for c in docs.columns])
 
 
 def clean_benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ Features, sets and signatures are compared by 64-bit codes.
 from __future__ import annotations
 
 import gc
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from measurelens.llm.components import components
-from measurelens.llm.texts import SPACED, Words, documents, mix, name_of, pieces, shingle_codes, slabs
+from measurelens.llm.texts import SPACED, Words, documents, map_texts, mix, name_of, pieces, shingle_codes, slabs
 from measurelens.llm.texts import share as sent
 from measurelens.operators.common import settle
 
@@ -504,6 +505,24 @@ def similar_links(rows: DataFrame, seen: DataFrame, *, width: int = WIDTH, share
     return links
 
 
+def similar_sets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, share=SHARE, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """(profile of the texts, (node, root) of every set that resembles another)."""
+    rows = docs.select(F.coalesce(name_of(text).cast("string"), F.lit("")).alias("_text"), name_of(doc_id).alias("_id"))
+    seen = settle(profile(rows, width, OFTEN))
+    return seen, components(similar_links(rows, seen, width=width, share=share, crowd=crowd))
+
+
+def with_sets(docs: DataFrame, *, text: str = "text", width: int = WIDTH, carry: Sequence[str] | None = None) -> DataFrame:
+    """Add set_key, the code of its set, and n_shingles to every row."""
+
+    def work(col):
+        owner, code, size = sets_of(col, width)
+        return pa.array(set_keys(owner, code, size)), pa.array(size.astype(np.int64))
+
+    results = T.StructType([T.StructField("set_key", T.LongType()), T.StructField("n_shingles", T.LongType())])
+    return map_texts(docs, text, results, lambda: work, carry=carry)
+
+
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, share=SHARE, crowd: int = CROWD) -> DataFrame:
     """(``doc_id``, n_shingles, component_id) for every row of ``docs``.
 
@@ -511,9 +530,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     own id and no links.  Rows with a null id take no part in anyone's smallest
     id; a component of null ids only has a null component_id.
     """
-    rows = docs.select(F.coalesce(name_of(text).cast("string"), F.lit("")).alias("_text"), name_of(doc_id).alias("_id"))
-    seen = settle(profile(rows, width, OFTEN))
-    roots = components(similar_links(rows, seen, width=width, share=share, crowd=crowd))
+    seen, roots = similar_sets(docs, doc_id=doc_id, text=text, width=width, share=share, crowd=crowd)
     each = seen.where("code is null").select("_id", "key", "n")
     each = each.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("_id", "n", F.coalesce("root", "key").alias("root"))
     # written, so that the join below deals both sides anew and Spark can split a large component

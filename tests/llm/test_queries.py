@@ -64,6 +64,18 @@ def test_pipeline_without_rows(spark, sf_dir):
     assert docs.count() == 0
 
 
+def test_pipeline_deduplicates_rows(spark, sf_dir):
+    """One row of each group of similar texts stays, whatever ids the rows have."""
+    base = [f"b{i}" for i in range(60)]
+    near = " ".join([*base[:59], "edited"])
+    base = " ".join(base)
+    rows = [(5, base), (5, "all alone here"), (5, "alone as well"), (3, base), (4, near), (None, near), (None, "never seen"), (None, "never seen"), (6, "twice"), (6, "twice"), (9, ""), (9, None), (None, " ")]
+    docs = spark.createDataFrame([(i, t, {"k": i}) for i, t in rows], "doc_id long, text string, more map<string,long>")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.deduplicate(spark, docs, sf_dir).collect()]
+    want = [(5, "all alone here"), (5, "alone as well"), (3, base), (None, "never seen"), (6, "twice"), (9, ""), (9, None), (None, " ")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_pipeline_odd_rows(spark, sf_dir, odd_docs):
     docs = odd_docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
