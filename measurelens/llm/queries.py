@@ -16,6 +16,7 @@ _MODULES = {
     "op8_quality": "quality",
     "op9_chat_format": "chat",
     "op10_lm_scoring": "lm",
+    "op11_vector_codes": "vectors",
 }
 
 
