@@ -17,6 +17,7 @@ _MODULES = {
     "op9_chat_format": "chat",
     "op10_lm_scoring": "lm",
     "op11_vector_codes": "vectors",
+    "op12_fill_in_middle": "fim",
 }
 
 
