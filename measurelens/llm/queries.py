@@ -18,6 +18,7 @@ _MODULES = {
     "op10_lm_scoring": "lm",
     "op11_vector_codes": "vectors",
     "op12_fill_in_middle": "fim",
+    "op13_token_files": "shards",
 }
 
 
