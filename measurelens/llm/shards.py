@@ -3,12 +3,14 @@
 Documents are dealt into ranges of ascending key; each task encodes its range and
 writes shards.  A shard is two files in the target folder:
 
-``*.bin``  the ids of its documents as little-endian unsigned 32-bit integers, one
-document after another, each closed by the end id; nothing else.
+``*.bin``  the ids of its documents as little-endian unsigned integers, one document
+after another, each closed by the end id; nothing else.  They have 16 bits where no id
+of the vocabulary needs more, else 32.
 ``*.idx``  little-endian 64-bit integers: a mark, the number of documents, of levels,
-of words of bits and of bytes of keys; then the level sizes in bits, the bits, 32-bit
-fingerprints (filled up to 8 bytes), begin and length (in ids) of the documents by
-slot, the slots' document numbers, the ends of the keys, and the keys in document order.
+of words of bits, of bytes of keys and of bytes of an id; then the level sizes in bits,
+the bits, 32-bit fingerprints (filled up to 8 bytes), begin and length (in ids) of the
+documents by slot, the slots' document numbers, the ends of the keys, and the keys in
+document order.
 
 The index.  A key's 128-bit code picks one bit in each level; a key is placed in the
 first level where it is alone, the others go on to the next.  The rank of its bit among
@@ -134,7 +136,7 @@ def _occurrences(keys: list) -> np.ndarray:
     return out
 
 
-def index_bytes(keys: list[str | None], lengths: np.ndarray) -> bytes:
+def index_bytes(keys: list[str | None], lengths: np.ndarray, width: int) -> bytes:
     raw = _key_bytes(keys)
     codes = codes_of(raw, _occurrences(keys))
     index = KeyIndex.build(codes)
@@ -142,7 +144,7 @@ def index_bytes(keys: list[str | None], lengths: np.ndarray) -> bytes:
     number = np.zeros(len(keys), "<i8")
     number[slot] = np.arange(len(keys))
     begins = np.cumsum(lengths) - lengths
-    head = np.array([MARK, len(keys), len(index.sizes), len(index.words), sum(map(len, raw))], "<i8")
+    head = np.array([MARK, len(keys), len(index.sizes), len(index.words), sum(map(len, raw)), width], "<i8")
     prints = index.prints.astype("<u4").tobytes()
     return b"".join([
         head.tobytes(), index.sizes.astype("<i8").tobytes(), index.words.tobytes(), prints + b"\0" * (-len(prints) % 8),
@@ -154,11 +156,11 @@ class Shard:
     """An opened shard: documents by key, or all of them in order."""
 
     def __init__(self, ids: bytes, idx: bytes):
-        self.ids = np.frombuffer(ids, "<u4")
-        mark, self.n, levels, words, key_bytes = np.frombuffer(idx, "<i8", 5).tolist()
+        mark, self.n, levels, words, key_bytes, width = np.frombuffer(idx, "<i8", 6).tolist()
         if mark != MARK:
             raise ValueError("not an index of token ids")
-        at = 40
+        self.ids = np.frombuffer(ids, f"<u{width}")
+        at = 48
 
         def take(kind, count):
             nonlocal at
@@ -213,7 +215,9 @@ def write(docs: DataFrame, folder: str, *, key: str = "doc_id", text: str = "tex
     order = ["_key", "_x", "_r"]
     rows = rows.repartitionByRange(int(ranges), *order).sortWithinPartitions(*order)
     rows = rows.select("_t", F.col("_key").cast("string").alias("_key"), F.spark_partition_id().alias("_part"))
-    shared = share(spark, (Vocabulary(vocabulary or vocabulary_path()), char_classes()))
+    tables = Vocabulary(vocabulary or vocabulary_path())
+    width = 2 if max(len(tables.token_bytes) - 1, end_id) < 1 << 16 else 4
+    shared = share(spark, (tables, char_classes()))
     system, base = _open(folder)
     system.create_dir(f"{base}/data", recursive=True)
     names = [c.split()[0] for c in MANIFEST.split(", ")]
@@ -227,7 +231,7 @@ def write(docs: DataFrame, folder: str, *, key: str = "doc_id", text: str = "tex
             for piece, coded in zip(held, encoder([p.column(0) for p in held])):
                 count = pc.list_value_length(coded).to_numpy(zero_copy_only=False).astype(np.int64)
                 flat = coded.flatten().to_numpy(zero_copy_only=False)
-                ids.append(np.insert(flat, np.cumsum(count), end_id).astype("<u4"))
+                ids.append(np.insert(flat, np.cumsum(count), end_id).astype(f"<u{width}"))
                 lengths.append(count + 1)
                 keys.extend(piece.column(1).to_pylist())
 
@@ -235,10 +239,10 @@ def write(docs: DataFrame, folder: str, *, key: str = "doc_id", text: str = "tex
             count = np.concatenate(lengths)
             payload = b"".join(x.tobytes() for x in ids)
             name = f"data/{part:07d}-{seq:04d}-{uuid.uuid4().hex}"
-            for end, data in (("bin", payload), ("idx", index_bytes(keys, count))):
+            for end, data in (("bin", payload), ("idx", index_bytes(keys, count, width))):
                 with system.open_output_stream(f"{base}/{name}.{end}") as f:
                     f.write(data)
-            row = [part, seq, f"{name}.bin", f"{name}.idx", len(keys), len(payload) // 4, len(payload), keys[0], keys[-1]]
+            row = [part, seq, f"{name}.bin", f"{name}.idx", len(keys), len(payload) // width, len(payload), keys[0], keys[-1]]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()])], names)
 
         for batch in batches:
@@ -271,7 +275,10 @@ def manifest(spark, folder: str) -> DataFrame:
 
 
 def scan(spark, folder: str, key_type: str = "long") -> DataFrame:
-    """(key, start, n_ids, ids_crc32) of every document, read from the files; each is fetched by its key through the index."""
+    """(key, start, n_ids, ids_crc32) of every document, read from the files; each is fetched by its key through the index.
+
+    The checksum is that of the ids as little-endian unsigned 32-bit integers.
+    """
     folder = folder.rstrip("/")
     shards = manifest(spark, folder).select("bin", "idx", "start")
     # a shard a task, however small the manifest is
@@ -286,7 +293,7 @@ def scan(spark, folder: str, key_type: str = "long") -> DataFrame:
                 slot = shard.find(keys, _occurrences(keys))
                 if (slot < 0).any() or len(np.unique(slot)) != shard.n:
                     raise ValueError(f"{idx} misses some of its keys")
-                crc = [zlib.crc32(shard.document(s)) for s in slot.tolist()]
+                crc = [zlib.crc32(shard.document(s).astype("<u4")) for s in slot.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(shard.begin[slot] + start), pa.array(shard.length[slot]), pa.array(crc, pa.int64())], ["key", "start", "n_ids", "ids_crc32"])
 
     out = shards.repartition(tasks).mapInArrow(run, "key string, start long, n_ids long, ids_crc32 long")

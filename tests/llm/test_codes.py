@@ -188,7 +188,7 @@ def test_token_files(spark, odd_docs, odd_texts, no_docs, tmp_path):
         listed = shards.write(odd_docs, folder, shard_bytes=size).orderBy("part", "seq").collect()
         assert sum(r.n_docs for r in listed) == len(odd_texts) and (len(listed) > 20 or n == 0)
         payload = b"".join(open(f"{folder}/{r.bin}", "rb").read() for r in listed)
-        flat = np.frombuffer(payload, "<u4").tolist()
+        flat = np.frombuffer(payload, "<u2").tolist()
         got = [tuple(r) for r in shards.scan(spark, folder).collect()]
         got.sort(key=lambda r: r[1])
         # ascending keys, nulls first; the documents lie one after another
