@@ -179,12 +179,17 @@ def modelability(df: DataFrame, *, label: str, group: str, k: int, test_fraction
     return one.select("classes", "smallest", "groups", reason.otherwise("").alias("reason"))
 
 
-def nested_plan(df: DataFrame, *, group: str, label: str, test_fraction: float, k: int, seed: int = 42) -> DataFrame:
-    """Hold-out, outer fold and inner fold of every row, all by whole groups."""
+def nested_plan(df: DataFrame, *, group: str, label: str, test_fraction: float, k: int, inner_k: int | None = None, seed: int = 42) -> DataFrame:
+    """Hold-out, outer fold and (with ``inner_k``) inner fold of every row, all by whole groups.
+
+    The inner folds are dealt once over the training rows; inside an outer part they
+    are the folds of the rows that are left.
+    """
     outer = group_holdout(df, group=group, label=label, test_fraction=test_fraction, seed=seed)
     train = group_folds(outer.where(~F.col("is_test")), group=group, label=label, k=k, seed=seed + 1, name="outer_fold")
-    test = outer.where("is_test").withColumn("outer_fold", F.lit(None).cast("int"))
-    return train.unionByName(test, allowMissingColumns=True)
+    if inner_k:
+        train = group_folds(train, group=group, label=label, k=inner_k, seed=seed + 2, name="inner_fold")
+    return train.unionByName(outer.where("is_test"), allowMissingColumns=True)
 
 
 def plan_sizes(plan: DataFrame, *, k: int, group: str, min_train: int = 15, min_test: int = 3, min_inner: int = 5) -> DataFrame:

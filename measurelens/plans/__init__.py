@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("curation", "grouping", "panels", "landscape", "claims", "scoring", "partitions", "modelling")
+_MODULES = ("curation", "grouping", "panels", "landscape", "claims", "scoring", "partitions", "modelling", "validation")
 
 
 def load():
