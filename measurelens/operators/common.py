@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def carried(spark, value) -> Callable:
+    """Broadcast a value of checked size with its classes; the result is called in a task to get it there."""
+    box = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(box.value)
+
+
 def shared_elements(a: Column, b: Column) -> Column:
     """Whether two sets share an element; empty or null sets share nothing."""
     return F.coalesce(F.arrays_overlap(a, b), F.lit(False))

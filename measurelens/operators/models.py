@@ -27,6 +27,7 @@ from measurelens.functions.scalar import hash_unit
 from measurelens.operators import metrics
 from measurelens.operators.common import settle
 from measurelens.operators.features import select_features, take_features
+from measurelens.operators.neighbours import Neighbours
 from measurelens.operators.ordered import numbered
 from measurelens.operators.splits import group_folds, group_holdout, oversample, stratified_folds, stratified_holdout
 
@@ -38,12 +39,14 @@ CLASSIFIERS = {
     "logistic_regression": lambda seed: LogisticRegression(maxIter=100),
     "linear_svc": lambda seed: OneVsRest(classifier=LinearSVC(maxIter=50)),
     "naive_bayes": lambda seed: NaiveBayes(modelType="gaussian"),
+    "nearest_neighbors": lambda seed: Neighbours(k=4, weights="uniform"),
 }
 REGRESSORS = {
     "random_forest": lambda seed: RandomForestRegressor(numTrees=200, maxDepth=15, seed=seed),
     "small_forest": lambda seed: RandomForestRegressor(numTrees=20, maxDepth=5, seed=seed),
     "gradient_boosting": lambda seed: GBTRegressor(seed=seed),
     "ridge": lambda seed: Ridge(),
+    "nearest_neighbors": lambda seed: Neighbours(k=4, weights="distance", classify=False),
 }
 
 
@@ -73,7 +76,7 @@ class _Part:
     """A training part with its own feature selection and balancing."""
 
     def __init__(self, rows: DataFrame, *, row: str, array: str, width: int, variance: float, correlation: float, balance: str | None, seed: int):
-        self.array, self.width = array, width
+        self.row, self.array, self.width = row, array, width
         self.features = select_features(rows, array, row=row, variance=variance, correlation=correlation)
         if not self.features:
             raise ValueError("no feature survives the filters on the training rows")
@@ -89,6 +92,7 @@ def _fit_predict(part: _Part, estimator, label: str, rows: DataFrame) -> DataFra
         mean = part.rows.agg(F.avg(label).alias("prediction"))
         return rows.join(F.broadcast(mean))
     estimator = estimator.setLabelCol(label) if hasattr(estimator, "setLabelCol") else estimator
+    estimator = estimator.setRowCol(part.row) if hasattr(estimator, "setRowCol") else estimator
     return estimator.fit(part.rows).transform(part.apply(rows))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from measurelens.operators import metrics, normal, splits
+from measurelens.operators import metrics, neighbours, normal, splits
 from measurelens.operators.common import settle
 from measurelens.plans.modelling import WIDTH, _target
 from measurelens.plans.partitions import folds_sql
@@ -90,3 +90,31 @@ def r6_loo(spark, d):
 @query("C33_loo_q2", f"WITH RECURSIVE {LOO} SELECT round(1 - sum((y - loo_prediction) ** 2) / sum((y - my.m) ** 2), 6) AS q2 FROM lo, my")
 def c33_loo(spark, d):
     return rounded(metrics.pooled_q2(settle(_loo(spark, d)), "y", "loo_prediction"))
+
+
+# A fifth of the vectors of each label, by hash order, asks the others.
+SPLIT = f"""sp AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x, rank() OVER (PARTITION BY label ORDER BY {HASH.format("'42:' || vec_id")}) - 1 < round(count(*) OVER (PARTITION BY label) * 0.2) AS test FROM embeddings),
+ di AS (SELECT q.id, q.label AS actual, r.id AS near, r.label, sqrt(list_sum(list_transform(range(1, {WIDTH} + 1), lambda i: (q.x[i] - r.x[i]) * (q.x[i] - r.x[i])))) AS d FROM sp q JOIN sp r ON q.test AND NOT r.test),
+ nn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, near) AS place FROM di QUALIFY place <= 4)"""
+
+
+def _neighbours(spark, d):
+    rows = settle(splits.stratified_holdout(_target(spark, d), identifier="id", label="stratum"))
+    train, test = rows.where(~F.col("is_test")), rows.where("is_test")
+    return test, neighbours.nearest(test, train, query="id", row="id", array="x", value="label", width=WIDTH, k=4)
+
+
+@query("M1_nearest_rows", f"WITH {SPLIT} SELECT id, CAST(place AS INTEGER) AS place, near, round(d, 6) AS distance FROM nn")
+def m1_nearest(spark, d):
+    return rounded(_neighbours(spark, d)[1].select(F.col("_q").alias("id"), "place", F.col("_id").alias("near"), "distance"))
+
+
+@query(
+    "M1_neighbour_models",
+    f"""WITH {SPLIT}, vo AS (SELECT id, actual, label, count(*) AS n FROM nn GROUP BY 1, 2, 3), cl AS (SELECT id, actual, arg_min(label, (-n, label))::DOUBLE AS voted FROM vo GROUP BY 1, 2),
+     av AS (SELECT id, coalesce(avg(label) FILTER (d = 0), sum(label / d) FILTER (d > 0) / sum(1 / d) FILTER (d > 0)) AS averaged FROM nn GROUP BY 1) SELECT id, actual::DOUBLE AS actual, voted, round(averaged, 6) AS averaged FROM cl JOIN av USING (id)""",
+)
+def m1_models(spark, d):
+    test, found = _neighbours(spark, d)
+    said = neighbours.vote(found).withColumnRenamed("prediction", "voted").join(neighbours.average(found).withColumnRenamed("prediction", "averaged"), "_q")
+    return rounded(test.select("id", F.col("label").alias("actual")).join(said, F.col("id") == F.col("_q")).drop("_q"))
