@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from measurelens.functions import variants
 from measurelens.operators.evidence import drop_record_copies
+from measurelens.operators.matching import disjoint_pairs
 from measurelens.operators.ordered import quantiles
 
 # A context with more members than this is paired block against block.
@@ -181,32 +181,12 @@ def disjoint_counts(pairs: DataFrame, keys: Sequence[str], *, scope: Sequence[st
     """Pairs taken in (from, to) order as long as neither id was used before.
 
     For one position an entity has one fragment and one context, so the choice
-    in one context never touches another: each (claim, context) is scanned by
-    itself and the counts are added.  The scan streams over sorted rows and
-    remembers used ids only; it never holds the pairs of a claim.
+    in one context never touches another: the counts of each (claim, context)
+    are added.
     """
-    keys, scope = list(keys), list(scope)
-    cell = [*keys, *scope]
-    edges = pairs.select(*cell, "id_from", "id_to").distinct()
-    coded = edges.withColumn("_cell", F.xxhash64(*cell)).repartition(*cell).sortWithinPartitions(*cell, "id_from", "id_to")
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, used = None, set()
-        for frame in batches:
-            taken = []
-            for group, left, right in zip(frame[cell].itertuples(index=False, name=None), frame["id_from"], frame["id_to"]):
-                if group != current:
-                    current, used = group, set()
-                free = left not in used and right not in used
-                if free:
-                    used.add(left)
-                    used.add(right)
-                taken.append(1 if free else 0)
-            yield frame.assign(taken=taken)[[*keys, "taken"]]
-
-    fields = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys)
-    kept = coded.mapInPandas(scan, f"{fields}, taken long")
-    return kept.groupBy(*keys).agg(F.sum("taken").alias("disjoint_pairs"))
+    keys = list(keys)
+    taken = disjoint_pairs(pairs, [*keys, *scope], "id_from", "id_to")
+    return taken.groupBy(*keys).agg(F.sum("taken").alias("disjoint_pairs"))
 
 
 def pair_votes(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
