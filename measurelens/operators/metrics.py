@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from measurelens.functions.scalar import THREE_FOLD, hash_unit, similarity_bin
+from measurelens.functions.scalar import THREE_FOLD, hash_long, hash_unit, similarity_bin
 from measurelens.functions.stats import ratio
-from measurelens.operators.common import stack_rows
+from measurelens.operators.common import settle, stack_rows
 from measurelens.operators.ordered import average_ranks, prefix_sums, quantiles, usable
 
 
@@ -283,29 +286,73 @@ def _measures(prefix: str = "") -> dict[str, Column]:
     return {"R²": F.when(sst > 1e-12, 1 - c("ee") / sst), "RMSE": rmse, "MAE": c("ae") / c("n"), "RMSE gain versus baseline": F.sqrt(c("bb") / c("n")) - rmse}
 
 
-def block_bootstrap(blocks: DataFrame, *, repeats: int = 500, seed: int = 42) -> DataFrame:
-    """Percentile intervals from resampling whole blocks with replacement.
+# Steps of the multiplicative generator behind the block draws, modulo 2^31 - 1.
+DRAW_PRIME = 2**31 - 1
+DRAW_STEPS = (1664525, 1013904223, 48271, 69621, 16807)
+
+
+def poisson_cuts(most: int = 12) -> list[float]:
+    """P(X <= k) of a Poisson variable with mean one, for k = 0 .. most."""
+    out, term, total = [], math.exp(-1.0), 0.0
+    for k in range(most + 1):
+        total += term
+        out.append(total)
+        term /= k + 1
+    return out
+
+
+def draw_counts(codes: np.ndarray, repeats: np.ndarray) -> np.ndarray:
+    """How often each block (row) enters each repeat (column): Poisson counts with mean one.
 
-    Blocks are numbered in hash order through running totals; every block slot
-    of every repeat then draws a block number by hash.  Only sums of blocks move,
-    never rows.  At least 20 repeats and 2 blocks are needed.
+    Whole-number steps that any engine can repeat turn a block's code and the
+    number of the repeat into a draw in [0, 1).
     """
-    from measurelens.operators.ordered import numbered
+    jump, shift, one, two, three = DRAW_STEPS
+    a, b = (codes % DRAW_PRIME)[:, None], (codes // DRAW_PRIME % DRAW_PRIME)[:, None]
+    r = repeats[None, :]
+    x = (a + r * jump + shift) % DRAW_PRIME
+    x = ((x ^ (x >> 15)) * one + b) % DRAW_PRIME
+    x = ((x ^ (x >> 13)) * two + a) % DRAW_PRIME
+    x = ((x ^ (x >> 16)) * three + r) % DRAW_PRIME
+    return np.searchsorted(poisson_cuts(), x / DRAW_PRIME, "right")
+
 
+def block_bootstrap(blocks: DataFrame, *, repeats: int = 500, seed: int = 42) -> DataFrame:
+    """Percentile intervals from resampling whole blocks.
+
+    A block enters a repeat a number of times that depends on its own hash and the
+    repeat alone (Poisson counts with mean one, the limit of drawing as many blocks
+    with replacement).  So nothing is numbered or joined: a task adds up its blocks
+    for all repeats at once and sends repeats x 6 sums.  A repeat that draws no block
+    is not valid.  At least 20 repeats and 2 blocks are needed.
+    """
     if repeats < 20:
         raise ValueError("a block bootstrap needs at least 20 repeats")
     sums = ["n", "y", "yy", "ee", "ae", "bb"]
-    placed = numbered(blocks, [], hash_unit(seed, "order", F.col("block")), tie=["block"]).withColumnRenamed("position", "slot").withColumnRenamed("position_of", "slots")
-    checked = F.when(F.col("slots") >= 2, F.col("slots")).otherwise(F.raise_error(F.lit("a block bootstrap needs at least two blocks")).cast("long"))
-    draws = placed.select("slot", checked.alias("slots"), F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep"))
-    picked = draws.select("rep", F.floor(hash_unit(seed, F.col("rep"), F.col("slot")) * F.col("slots")).alias("slot"))
-    # the number of times a block is drawn in a repeat, counted on the map side
-    times = picked.groupBy("rep", "slot").agg(F.count(F.lit(1)).alias("times"))
-    sample = times.join(placed.select("slot", *sums), "slot").groupBy("rep").agg(*[F.sum(F.col(s) * F.col("times")).alias(s) for s in sums])
-    long = stack_rows(sample, [{"metric": F.lit(name), "value": value} for name, value in _measures().items()])
+    coded = blocks.select(hash_long(seed, "block", F.col("block")).alias("h"), *[F.col(s).cast("double").alias(s) for s in sums])
+    names = ["rep", "blocks", *sums]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps = np.arange(1, repeats + 1)
+        total, n = np.zeros((repeats + 1, len(sums))), 0
+        for batch in batches:
+            for first in range(0, batch.num_rows, 4096):
+                part = batch.slice(first, 4096)
+                values = np.stack([part.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(sums))], axis=1)
+                times = draw_counts(part.column(0).to_numpy(zero_copy_only=False), reps)
+                total[0] += values.sum(0)  # repeat 0 is the sample itself
+                total[1:] += times.T.astype(np.float64) @ values
+                n += part.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(repeats + 1), pa.int32()), pa.array(np.full(repeats + 1, n)), *[pa.array(c) for c in total.T]], names)
+
+    schema = ", ".join(["rep int", "blocks long", *[f"{s} double" for s in sums]])
+    all_sums = coded.mapInArrow(run, schema).groupBy("rep").agg(F.sum("blocks").alias("blocks"), *[F.sum(s).alias(s) for s in sums])
+    checked = F.when(F.col("blocks") >= 2, F.col("blocks")).otherwise(F.raise_error(F.lit("a block bootstrap needs at least two blocks")).cast("long"))
+    all_sums = settle(all_sums.withColumn("blocks", checked)).where(F.col("n") > 0)
+    long = stack_rows(all_sums.where("rep > 0"), [{"metric": F.lit(name), "value": value} for name, value in _measures().items()])
     spread = quantiles(long, ["metric"], "value", {"lower_95": 0.025, "upper_95": 0.975}).join(long.where(usable(F.col("value"))).groupBy("metric").agg(F.count("value").alias("valid_repeats")), "metric")
-    whole = blocks.agg(*[F.sum(s).alias(s) for s in sums], F.count(F.lit(1)).alias("blocks"))
-    point = stack_rows(whole, [{"metric": F.lit(name), "estimate": value, "blocks": F.col("blocks")} for name, value in _measures().items()])
+    point = stack_rows(all_sums.where("rep = 0"), [{"metric": F.lit(name), "estimate": value, "blocks": F.col("blocks")} for name, value in _measures().items()])
     return point.join(spread, "metric", "left")
 
 
