@@ -10,26 +10,25 @@ from measurelens.plans import bindings as b
 from measurelens.plans.bindings import M
 from measurelens.plans.registry import query, rounded
 
-# Panel A: lines with status F before 2001 flags; panel B: status O and large quantities.
-PANELS = """li AS (SELECT *, log10(l_extendedprice) AS v FROM lineitem),
- pa AS (SELECT l_partkey, median(v) AS va FROM li WHERE l_linestatus = 'F' AND l_quantity < 15 GROUP BY 1),
- pb AS (SELECT l_partkey, median(v) AS vb FROM li WHERE l_linestatus = 'O' AND l_quantity > 35 GROUP BY 1),
- a AS (SELECT l_partkey AS key, nullif(p_name, 'red widget') AS murcko, va, CASE WHEN va >= 4.1 THEN 1 ELSE 2 END AS ga FROM pa JOIN part ON p_partkey = l_partkey),
- c AS (SELECT l_partkey AS key, nullif(p_name, 'red widget') AS murcko, vb, CASE WHEN vb >= 4.8 THEN 1 ELSE 2 END AS gb FROM pb JOIN part ON p_partkey = l_partkey)"""
+# An entity is a part of one supplier.  Panel A measures it on lines with status F, panel B on those with status O;
+# most entities are on one panel only.
+PANELS = """li AS (SELECT *, l_partkey * 100000 + l_suppkey AS key, log10(l_extendedprice) AS v FROM lineitem),
+ pa AS (SELECT key, l_partkey, median(v) AS va FROM li WHERE l_linestatus = 'F' GROUP BY 1, 2),
+ pb AS (SELECT key, l_partkey, median(v) AS vb FROM li WHERE l_linestatus = 'O' GROUP BY 1, 2),
+ a AS (SELECT key, nullif(p_name, 'red widget') AS murcko, va, CASE WHEN va >= 4.5 THEN 1 ELSE 2 END AS ga FROM pa JOIN part ON p_partkey = l_partkey),
+ c AS (SELECT key, nullif(p_name, 'red widget') AS murcko, vb, CASE WHEN vb >= 4.4 THEN 1 ELSE 2 END AS gb FROM pb JOIN part ON p_partkey = l_partkey)"""
 
 
 def panels(spark, d):
-    li = b.table(spark, d, "lineitem").select("l_partkey", "l_linestatus", "l_quantity", F.log10("l_extendedprice").alias("v"))
+    li = b.table(spark, d, "lineitem").select((F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("key"), "l_partkey", "l_linestatus", F.log10("l_extendedprice").alias("v"))
     part = b.table(spark, d, "part").select("p_partkey", F.nullif(F.col("p_name"), F.lit("red widget")).alias("murcko"))
 
-    def side(rows, value, group, bound):
-        medians = quantiles(rows, ["l_partkey"], "v", {value: 0.5})
+    def side(status, value, group, bound):
+        medians = quantiles(li.where(F.col("l_linestatus") == status), ["key", "l_partkey"], "v", {value: 0.5})
         out = medians.join(part, medians.l_partkey == part.p_partkey)
-        return out.select(F.col("l_partkey").alias("key"), "murcko", value, F.when(F.col(value) >= bound, 1).otherwise(2).alias(group))
+        return out.select("key", "murcko", value, F.when(F.col(value) >= bound, 1).otherwise(2).alias(group))
 
-    a = side(li.where("l_linestatus = 'F' AND l_quantity < 15"), "va", "ga", 4.1)
-    c = side(li.where("l_linestatus = 'O' AND l_quantity > 35"), "vb", "gb", 4.8)
-    return a, c
+    return side("F", "va", "ga", 4.5), side("O", "vb", "gb", 4.4)
 
 
 @query(
@@ -72,15 +71,15 @@ def j5(spark, d):
 
 @query(
     "J6_context_quality",
-    """WITH x AS (SELECT l_partkey AS id, l_linestatus AS side, l_returnflag AS ep, CASE WHEN l_quantity < 25 THEN 'small' ELSE 'large' END AS fmt, l_suppkey AS doc FROM lineitem WHERE l_tax < 0.02 AND l_discount < 0.03),
+    """WITH x AS (SELECT l_partkey * 100000 + l_suppkey AS id, l_linestatus AS side, l_returnflag AS ep, CASE WHEN l_quantity < 25 THEN 'small' ELSE 'large' END AS fmt, l_orderkey % 3 AS doc FROM lineitem),
      g AS (SELECT id, side, list_sort(list(DISTINCT ep)) AS ep, list_sort(list(DISTINCT fmt)) AS fmt, list(DISTINCT doc) AS doc FROM x GROUP BY 1, 2)
     SELECT a.id, CASE WHEN len(a.ep) <> 1 OR a.ep <> c.ep THEN 'endpoint mismatch or pooling' WHEN len(a.fmt) <> 1 OR a.fmt <> c.fmt THEN 'assay-format mismatch or pooling'
       WHEN list_has_any(a.doc, c.doc) THEN 'same endpoint, format and document' ELSE 'same endpoint and format; different documents' END AS assay_context
     FROM g a JOIN g c ON a.id = c.id AND a.side = 'F' AND c.side = 'O'""",
 )
 def j6(spark, d):
-    li = b.table(spark, d, "lineitem").where("l_tax < 0.02 AND l_discount < 0.03").select(
-        F.col("l_partkey").alias("id"), "l_linestatus", F.col("l_returnflag").alias("ep"), F.when(F.col("l_quantity") < 25, "small").otherwise("large").alias("fmt"), F.col("l_suppkey").alias("doc")
+    li = b.table(spark, d, "lineitem").select(
+        (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("id"), "l_linestatus", F.col("l_returnflag").alias("ep"), F.when(F.col("l_quantity") < 25, "small").otherwise("large").alias("fmt"), (F.col("l_orderkey") % 3).alias("doc")
     )
     fields = {"endpoint": "ep", "format": "fmt", "document": "doc"}
     a, c = (compare.context_sets(li.where(F.col("l_linestatus") == s), entity="id", fields=fields) for s in ("F", "O"))
@@ -90,13 +89,13 @@ def j6(spark, d):
 
 @query(
     "J19_contact_changes",
-    """WITH a AS (SELECT l_suppkey AS k, l_returnflag AS f, min(l_quantity) AS da FROM lineitem WHERE l_linestatus = 'F' AND l_discount = 0.1 GROUP BY 1, 2),
-     c AS (SELECT l_suppkey AS k, l_returnflag AS f, min(l_quantity) AS db FROM lineitem WHERE l_linestatus = 'O' AND l_tax = 0.0 GROUP BY 1, 2)
+    """WITH a AS (SELECT l_partkey AS k, l_suppkey AS f, min(l_quantity) AS da FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2),
+     c AS (SELECT l_partkey AS k, l_suppkey AS f, min(l_quantity) AS db FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2)
     SELECT k AS residue, f AS interaction, CASE WHEN da IS NOT NULL AND db IS NOT NULL THEN 'retained' WHEN da IS NOT NULL THEN 'lost' ELSE 'gained' END AS change, da AS distance_a, db AS distance_b FROM a FULL JOIN c USING (k, f)""",
 )
 def j19(spark, d):
-    li = b.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("residue"), F.col("l_returnflag").alias("interaction"), "l_quantity", "l_linestatus", "l_discount", "l_tax")
-    a, c = li.where("l_linestatus = 'F' AND l_discount = 0.1"), li.where("l_linestatus = 'O' AND l_tax = 0.0")
+    li = b.table(spark, d, "lineitem").select(F.col("l_partkey").alias("residue"), F.col("l_suppkey").alias("interaction"), "l_quantity", "l_linestatus")
+    a, c = li.where("l_linestatus = 'F'"), li.where("l_linestatus = 'O'")
     return compare.contact_changes(a, c, keys=["residue", "interaction"], distance="l_quantity")
 
 
