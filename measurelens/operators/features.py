@@ -5,18 +5,25 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from measurelens.functions.scalar import hash_unit
 from measurelens.functions.stats import ratio
+from measurelens.operators.common import settle
+from measurelens.operators.normal import matrix, means
 from measurelens.operators.ordered import quantiles, usable
 
-# Widest feature table whose pairwise correlations may be held (p x p doubles).
-MAX_FEATURES = 4096
+# Features of a block; the products of two blocks are one value of half a megabyte.
+FEATURE_BLOCK = 256
+# Pairs of blocks that a task holds at once, and senders of one partial sum per pair.
+PASS = 128
+FAN = 64
 
 
 def long_features(df: DataFrame, row: str, columns: Sequence[str]) -> DataFrame:
@@ -34,42 +41,94 @@ def variance_table(long: DataFrame, threshold: float = 0.1) -> DataFrame:
     return per.withColumn("kept", F.coalesce(F.col("variance") > threshold, F.lit(False)))
 
 
-def correlated_features(df: DataFrame, array: str, features: Sequence[int], threshold: float) -> list[tuple[int, int]]:
-    """Pairs of features with absolute correlation above the threshold.
+def correlated_features(df: DataFrame, array: str, features: Sequence[int], threshold: float) -> DataFrame:
+    """(f_a, f_b): pairs of features, f_a < f_b, with absolute correlation above the threshold.
 
-    Spark accumulates the p x p moments over the rows; only the matrix, whose
-    size is the checked number of features, reaches the driver.
+    The sums of products are made block by block.  A task holds ``PASS`` pairs of
+    blocks at most and sends each as one value; these are added in two steps, so that
+    no task receives more than about the root of their number.  Wider tables take
+    several passes.  A feature without spread is tied to none.
     """
-    if len(features) > MAX_FEATURES:
-        raise ValueError(f"{len(features)} features exceed the bound of {MAX_FEATURES} for a correlation matrix")
-    if len(features) < 2:
-        return []
-    picked = df.select(array_to_vector(F.transform(F.array(*[F.lit(int(i)) for i in features]), lambda i: F.get(F.col(array).cast("array<double>"), i))).alias("x"))
-    matrix = Correlation.corr(picked, "x").head()[0].toArray()
-    n = len(features)
-    return [(features[i], features[j]) for i in range(n) for j in range(i + 1, n) if abs(matrix[i, j]) > threshold]
-
-
-def greedy_keep(features: Sequence[int], edges: Sequence[tuple[int, int]]) -> list[int]:
-    """Scan features in order; drop one that is tied to a feature already kept."""
-    tied: dict[int, set[int]] = {}
-    for a, b in edges:
-        tied.setdefault(a, set()).add(b)
-        tied.setdefault(b, set()).add(a)
-    kept: list[int] = []
-    chosen: set[int] = set()
-    for f in features:
-        if not (tied.get(f, set()) & chosen):
-            kept.append(f)
-            chosen.add(f)
-    return kept
+    spark, p = df.sparkSession, len(features)
+    schema = "f_a int, f_b int"
+    first = df.select(F.size(array)).head()
+    if p < 2 or first is None:
+        return spark.createDataFrame([], schema)
+    width = first[0]
+    rows = df.select(F.col(array).cast("array<double>").alias("_x"))
+    centre = means(rows, {"_x": width})[list(features)]
+    starts = list(range(0, p, FEATURE_BLOCK))
+    pairs = [(i, j) for i in range(len(starts)) for j in range(i, len(starts))]
+    box = spark.sparkContext.broadcast((centre, np.array(features)))
+    out = None
+    for at in range(0, len(pairs), PASS):
+        chosen = pairs[at : at + PASS]
+
+        def products(batches, chosen=chosen):
+            centre, numbers = box.value
+            task, sums = TaskContext.get().partitionId(), {}
+            for batch in batches:
+                x = matrix(batch.column(0), width)[:, numbers] - centre
+                squares = (x * x).sum(0)
+                block = lambda i: x[:, starts[i] : starts[i] + FEATURE_BLOCK]  # noqa: B023, E731
+                for i, j in chosen:
+                    new = np.concatenate((squares[starts[i] : starts[i] + FEATURE_BLOCK], squares[starts[j] : starts[j] + FEATURE_BLOCK], (block(i).T @ block(j)).reshape(-1)))
+                    sums[i, j] = sums[i, j] + new if (i, j) in sums else new
+            for (i, j), v in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([task % FAN], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["i", "j", "salt", "v"])
+
+        def total(table: pa.Table) -> np.ndarray:
+            return sum(np.frombuffer(v, np.float64) for v in table.column("v").to_pylist())
+
+        def added(table: pa.Table) -> pa.Table:
+            return table.slice(0, 1).set_column(3, "v", pa.array([total(table).tobytes()], pa.binary()))
+
+        def ties(table: pa.Table) -> pa.Table:
+            numbers, v = box.value[1], total(table)
+            a, b = (numbers[starts[table.column(c)[0].as_py()] :][:FEATURE_BLOCK] for c in ("i", "j"))
+            spread = np.sqrt(np.outer(v[: len(a)], v[len(a) : len(a) + len(b)]))
+            r = np.abs(v[len(a) + len(b) :].reshape(len(a), len(b))) / np.where(spread > 0, spread, np.inf)
+            x, y = np.nonzero((r > threshold) & (a[:, None] < b[None, :]))
+            return pa.table({"f_a": pa.array(a[x], pa.int32()), "f_b": pa.array(b[y], pa.int32())})
+
+        part = "i int, j int, salt int, v binary"
+        sums = rows.mapInArrow(products, part).groupBy("i", "j", "salt").applyInArrow(added, part)
+        edges = settle(sums.groupBy("i", "j").applyInArrow(ties, schema))
+        out = edges if out is None else out.unionByName(edges)
+    return out
+
+
+def greedy_keep(features: DataFrame, edges: DataFrame) -> DataFrame:
+    """Scan features in order and drop one that is tied to a feature already kept; both are tables.
+
+    The scan's result in rounds: a feature with no undecided smaller neighbour is
+    kept, its larger neighbours are dropped, and the rest is looked at again.
+    ``features`` has the column ``feature``; the kept ones are returned.
+    """
+    undecided, kept = settle(features.select("feature").distinct()), None
+    left = settle(edges.select(F.least("f_a", "f_b").alias("lo"), F.greatest("f_a", "f_b").alias("hi")).distinct())
+    while True:
+        new = settle(undecided.join(left.select(F.col("hi").alias("feature")), "feature", "left_anti"))
+        kept = new if kept is None else kept.unionByName(new)
+        gone = left.join(new.select(F.col("feature").alias("lo")), "lo").select(F.col("hi").alias("feature")).distinct()
+        gone = settle(gone)
+        undecided = settle(undecided.join(new, "feature", "left_anti").join(gone, "feature", "left_anti"))
+        if undecided.isEmpty():
+            return kept
+        # ties between two undecided features stay open
+        for side in ("lo", "hi"):
+            left = left.join(undecided.select(F.col("feature").alias(side)), side, "left_semi")
+        left = settle(left)
 
 
 def select_features(df: DataFrame, array: str, *, row: str, variance: float = 0.1, correlation: float = 0.95) -> list[int]:
-    """Numbers of the features that survive both filters, fitted on these rows only."""
-    table = variance_table(long_array(df, row, array), variance)
-    survivors = sorted(r["feature"] for r in table.where("kept").select("feature").limit(MAX_FEATURES + 1).collect())
-    return greedy_keep(survivors, correlated_features(df, array, survivors, correlation))
+    """Numbers of the features that survive both filters, fitted on these rows only (at most the width of a row)."""
+    table = settle(variance_table(long_array(df, row, array), variance).where("kept").select("feature"))
+    survivors = sorted(r["feature"] for r in table.collect())
+    edges = correlated_features(df, array, survivors, correlation)
+    if edges.isEmpty():
+        return survivors
+    return sorted(r["feature"] for r in greedy_keep(table, edges).collect())
 
 
 def take_features(df: DataFrame, array: str, features: Sequence[int], out: str = "features", width: int | None = None) -> DataFrame:

@@ -43,21 +43,22 @@ def matrix(col: pa.Array, width: int) -> np.ndarray:
     return flat.reshape(len(col), width)
 
 
-def _means(rows: DataFrame, array: str, width: int, responses: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Means of every feature and response, from one sum per task and position."""
+def means(rows: DataFrame, widths: dict[str, int]) -> np.ndarray:
+    """Means of every position of the named array columns, one after another, from one sum per task and position."""
+    total_width = sum(widths.values())
 
     def run(batches):
-        total, count = np.zeros(width + n), 0
+        total, n = np.zeros(total_width), 0
         for batch in batches:
-            x = np.concatenate((matrix(batch.column(0), width), matrix(batch.column(1), n)), axis=1)
-            total, count = total + x.sum(0), count + len(x)
-        if count:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + n), pa.int32()), pa.array(total), pa.array(np.full(width + n, count))], ["i", "s", "n"])
+            x = np.concatenate([matrix(batch.column(i), w) for i, w in enumerate(widths.values())], axis=1)
+            total, n = total + x.sum(0), n + len(x)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total_width), pa.int32()), pa.array(total), pa.array(np.full(total_width, n))], ["i", "s", "n"])
 
-    out = np.zeros(width + n)
-    for r in rows.select(array, responses).mapInArrow(run, "i int, s double, n long").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("m")).collect():
+    out = np.zeros(total_width)
+    for r in rows.select(*widths).mapInArrow(run, "i int, s double, n long").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("m")).collect():
         out[r.i] = r.m
-    return out[:width], out[width:]
+    return out
 
 
 @dataclass
@@ -121,7 +122,7 @@ def moments(rows: DataFrame, *, array: str, responses: str, cell: str, width: in
     if width > MAX_WIDTH:
         raise ValueError(f"{width} features exceed the bound of {MAX_WIDTH}")
     p, q = width, n_responses
-    xc, yc = _means(rows, array, p, responses, q)
+    xc, yc = np.split(means(rows, {array: p, responses: q}), [p])
     upper = np.triu_indices(p + 1)
 
     def run(batches):

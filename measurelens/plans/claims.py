@@ -12,9 +12,9 @@ from measurelens.plans.bindings import MEASURED, RESOLVED, SERIES
 from measurelens.plans.registry import query, rounded
 
 # Matched pairs: the order is the context, the part's type the fragment.
-PAIRS = """mem AS (SELECT DISTINCT l_orderkey AS context, CAST(l_partkey AS VARCHAR) AS id, p_type AS fragment, log10(p_retailprice) AS v FROM lineitem JOIN part ON p_partkey = l_partkey),
+PAIRS = """mem AS MATERIALIZED (SELECT DISTINCT l_orderkey AS context, CAST(l_partkey AS VARCHAR) AS id, p_type AS fragment, log10(p_retailprice) AS v FROM lineitem JOIN part ON p_partkey = l_partkey),
  mp AS (SELECT a.context, a.id AS id_a, b.id AS id_b, a.fragment AS fragment_a, b.fragment AS fragment_b, a.v AS value_a, b.v AS value_b, b.v - a.v AS delta
-  FROM mem a JOIN mem b ON a.context = b.context AND (a.id, a.fragment, a.v) < (b.id, b.fragment, b.v) AND a.id <> b.id AND a.fragment <> b.fragment)"""
+  FROM mem a JOIN mem b ON a.context = b.context AND a.id < b.id AND a.fragment <> b.fragment)"""
 
 
 def order_members(spark, d):

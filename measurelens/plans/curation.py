@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from measurelens.functions import scalar, variants
 from measurelens.operators import curate, evidence
+from measurelens.operators.common import shared_folder
 from measurelens.plans import bindings as b
 from measurelens.plans.bindings import CLASS_SQL, E, GROUP_SQL, K, M
 from measurelens.plans.registry import query, rounded
@@ -534,6 +537,23 @@ def s1(spark, d):
     return rounded(sources.measurements_from(c, identifier="molecule_id", structure="smiles", value="value", record=record, unit="nM", year="year"))
 
 
+@query(
+    "S1_record_numbers",
+    """SELECT CAST(c_custkey AS VARCHAR) AS molecule_id, c_mktsegment || CASE WHEN c_custkey % 5 = 0 THEN chr(10) || '"' || c_nationkey ELSE '' END AS smiles, round(1 + abs(c_acctbal), 4) AS pactivity, c_nationkey AS document_year,
+      row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + 1 AS record FROM customer""",
+)
+def s1_numbers(spark, d):
+    """Delimited files, one per nation, written and read back: every row has the number of its record in its file."""
+    folder = f"{shared_folder(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
+    c = b.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("molecule_id"), F.concat("c_mktsegment", F.when(F.pmod("c_custkey", F.lit(5)) == 0, F.concat(F.lit('\n"'), F.col("c_nationkey").cast("string"))).otherwise("")).alias("smiles"),
+        (1 + F.abs("c_acctbal")).alias("pactivity"), F.col("c_nationkey").alias("year"), F.col("c_nationkey").alias("nation"),
+    )
+    c.repartition("nation").sortWithinPartitions("nation", "molecule_id").write.partitionBy("nation").option("header", True).option("escape", '"').csv(folder)
+    out = sources.read_measurement_table(spark, f"{folder}/*/*.csv", year="year")
+    return rounded(out.withColumn("record", F.substring_index("record_id", ":", -1).cast("long")).drop("record_id"), 4)
+
+
 @query("S4_prediction_input", "SELECT CAST(c_custkey AS VARCHAR) AS molecule_id, c_mktsegment AS smiles FROM customer WHERE c_mktsegment <> 'MACHINERY'")
 def s4(spark, d):
     c = b.table(spark, d, "customer").select(F.concat(F.lit(" "), F.col("c_custkey").cast("string")).alias("i"), F.nullif(F.col("c_mktsegment"), F.lit("MACHINERY")).alias("s"))

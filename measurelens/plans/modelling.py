@@ -29,8 +29,7 @@ def f1(spark, d):
 
 @query("F2_correlated_pairs", f"WITH {EMB} SELECT CAST(a.feature AS INTEGER) AS f_a, CAST(c.feature AS INTEGER) AS f_b FROM f a JOIN f c ON a.id = c.id AND a.feature < c.feature GROUP BY 1, 2 HAVING abs(corr(a.v, c.v)) > 0.1")
 def f2(spark, d):
-    edges = features.correlated_features(emb(spark, d), "x", list(range(WIDTH)), 0.1)
-    return spark.createDataFrame(edges, "f_a int, f_b int")
+    return features.correlated_features(emb(spark, d), "x", list(range(WIDTH)), 0.1)
 
 
 @query(

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from measurelens.functions.scalar import finite_number, log_molar
-from measurelens.operators.common import row_fingerprint
+from measurelens.operators.common import row_fingerprint, settle
 
 ACTIVITY_SCHEMA = T.StructType(
     [
@@ -55,15 +56,73 @@ def measurements_from(rows: DataFrame, *, identifier: str, structure: str, value
     )
 
 
+# Most splits whose offsets are broadcast (a path and two numbers each); beyond it the lines are shuffled.
+MANY_SPLITS = 100_000
+
+
+def _splits_before(splits: DataFrame, what: str, many: bool) -> DataFrame:
+    """Sum of ``what`` over the splits of a file before each one (a file has few splits)."""
+    order = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    out = splits.select("_file", "_block", "first", F.coalesce(F.sum(what).over(order), F.lit(0)).alias("before"))
+    return out if many else F.broadcast(out)
+
+
+def numbered_records(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """(file_name, record, text columns) of delimited files, with consecutive record numbers per file.
+
+    The header is record 1 and blank lines do not count, so without quoted line breaks
+    or blank lines the number is that of the line.  Files are read in splits: what comes
+    before a split follows from counts per split and a running total over the splits.
+    A line lies inside quotes if an odd number of quotes comes before it in the file, so
+    records with line breaks are found in the same way, wherever the splits are cut.  A
+    quote that never closes is an error, as are files with different headers.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_m"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    blank = F.trim(F.regexp_replace("value", r"[\r\x0b\x0c]" if sep == "\t" else r"[\t\r\x0b\x0c]", "")) == ""
+    lines = lines.withColumns({"_odd": F.pmod(quotes, F.lit(2)), "_blank": blank})
+    splits = settle(lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("lines"), F.sum("_odd").alias("odd"), F.count_if("_blank").alias("blanks"), F.min("_m").alias("first")))
+    total = splits.groupBy("_file").agg(F.sum("odd").alias("odd")).agg(F.sum("odd").alias("odd"), F.max(F.pmod("odd", F.lit(2))).alias("open")).head()
+    if total.open:
+        raise ValueError("a quoted field never ends")
+    at, many = ["_file", "_block"], splits.count() > MANY_SPLITS
+    if not total.odd and splits.where("blanks > 0").isEmpty():
+        # rows of a split are numbered one after another
+        placed = lines.join(_splits_before(splits, "lines", many), at)
+        records = placed.select("_file", "file_name", (F.col("before") + F.col("_m") - F.col("first") + 1).alias("record"), F.col("value").alias("text"))
+    else:
+        upto = Window.partitionBy(*at).orderBy("_m")
+        opened = lines.join(_splits_before(splits, "odd", many), at)
+        inside = F.pmod(F.col("before") + F.sum("_odd").over(upto) - F.col("_odd"), F.lit(2)) == 1
+        opened = opened.withColumn("_in", inside).drop("before", "first")
+        opened = settle(opened.withColumn("_start", (~F.col("_in") & ~F.col("_blank")).cast("long")))
+        starts = _splits_before(opened.groupBy(*at).agg(F.sum("_start").alias("starts"), F.min("_m").alias("first")), "starts", many)
+        placed = opened.join(starts, at).withColumn("record", F.col("before") + F.sum("_start").over(upto)).where(F.col("_in") | ~F.col("_blank"))
+        whole = ~F.col("_in") & (F.col("_odd") == 0)
+        keys = ["_file", "file_name", "record"]
+        # only the lines of records with line breaks are brought together
+        parts = placed.where(~whole).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_block", "_m", "value"))).alias("p"))
+        joined = parts.select(*keys, F.array_join(F.transform("p", lambda p: p["value"]), "\n").alias("text"))
+        records = placed.where(whole).select(*keys, F.col("value").alias("text")).unionByName(joined)
+    heads = [r.text for r in records.where("record = 1").select("text").distinct().limit(2).collect()]
+    if len(heads) > 1:
+        raise ValueError("the files have different headers")
+    if not heads:
+        return spark.createDataFrame([], "file_name string, record long")
+    names = next(csv.reader([heads[0]], delimiter=sep))
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    parsed = F.from_csv("text", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep, "quote": '"', "escape": '"'})
+    rows = records.where("record > 1").select("file_name", "record", parsed.alias("r"))
+    return rows.select("file_name", "record", *[F.nullif(F.col(f"r.c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)])
+
+
 def read_measurement_table(spark: SparkSession, path: str, *, identifier: str = "molecule_id", structure: str = "smiles", value: str = "pactivity", unit: str = "p", year: str | None = None, record: str | None = None) -> DataFrame:
-    """Read a delimited file: tabs for .tsv and .tab, else commas; ids stay text.
+    """Read delimited files: tabs for .tsv and .tab, else commas; ids stay text.
 
-    Spark has no line numbers: the record id is a given column, or the file name
-    with a row number that is unique but not consecutive.
+    The record id is a given column, or the file name and the number of the record.
     """
-    sep = "\t" if path.endswith((".tsv", ".tab")) else ","
-    rows = spark.read.csv(path, header=True, sep=sep, inferSchema=False)
-    source = F.col(record).cast("string") if record else F.concat_ws(":", F.col("_metadata.file_name"), F.monotonically_increasing_id().cast("string"))
+    rows = numbered_records(spark, path, "\t" if path.endswith((".tsv", ".tab")) else ",")
+    source = F.col(record).cast("string") if record else F.concat_ws(":", "file_name", F.col("record").cast("string"))
     return measurements_from(rows, identifier=identifier, structure=structure, value=value, record=source, unit=unit, year=year)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import json
+import random
 
 import pytest
 
@@ -15,7 +17,7 @@ def test_delimited_reader(spark, tmp_path):
     path.write_text("molecule_id\tsmiles\tIC50_nM\tyear\n007\tC \t100\t2001\n8\tCC\t1000\tx\n9\t\t5\t2000\n10\tC\t\t2000\n")
     got = tables.read_measurement_table(spark, str(path), value="IC50_nM", unit="nM", year="year").collect()
     assert [(r["molecule_id"], r["smiles"], r["pactivity"], r["document_year"]) for r in got] == [("007", "C", 7.0, 2001), ("8", "CC", 6.0, None)]
-    assert all(r["record_id"].startswith("m.tsv:") for r in got)
+    assert [r["record_id"] for r in got] == ["m.tsv:2", "m.tsv:3"]
     with pytest.raises(ValueError, match="missing required"):
         tables.read_measurement_table(spark, str(path), value="absent")
     bad = tmp_path / "b.csv"
@@ -56,3 +58,49 @@ def test_guarded_writer_and_manifest(spark, tmp_path):
     tables.verify_manifest(spark, str(other), {"keep.txt": good})
     with pytest.raises(ValueError, match="differs"):
         tables.verify_manifest(spark, str(other), {"keep.txt": "0" * 64})
+
+
+def plain_records(path, sep=","):
+    """[(number, fields)] by one reader over the whole file; blank lines do not count."""
+    with open(path, newline="") as f:
+        rows = [r for r in csv.reader(f, delimiter=sep) if r and not (len(r) == 1 and not r[0].strip())]
+    return [(i, [x.replace("\r\n", "\n") or None for x in r]) for i, r in enumerate(rows[1:], 2)]
+
+
+@pytest.mark.parametrize("kind", ["plain", "blank", "quoted"])
+def test_record_numbers_over_splits(spark, tmp_path, kind):
+    """A file of many splits, with blank lines and with line breaks and quotes inside fields, equals one reader's."""
+    rng = random.Random(3)
+    out = ["id,note,v"]
+    for i in range(4000):
+        note = rng.choice(["a", "", "x y", "é"])
+        if kind == "quoted" and i % 7 == 0:
+            note = '"' + rng.choice(["two\nlines", 'say ""so""', "a,b", "one\n\n\nfour", "end\n", '""\n""']) + '"'
+        out.append(f"{i},{note},{i / 8}")
+        if kind != "plain" and i % 11 == 0:
+            out.append(rng.choice(["", "  "]))
+    path = tmp_path / "many.csv"
+    path.write_text("\n".join(out) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        df = tables.numbered_records(spark, str(path), ",")
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 8
+        got = sorted((r.record, [r.id, r.note, r.v]) for r in df.collect())
+        assert got == plain_records(path)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_record_numbers_of_several_files(spark, tmp_path):
+    for n, rows in (("a", 3), ("b", 5)):
+        (tmp_path / f"{n}.csv").write_text("molecule_id,smiles,pactivity\n" + "".join(f'{i},"C\nC",5.0\n' for i in range(rows)))
+    got = tables.read_measurement_table(spark, str(tmp_path)).collect()
+    assert sorted(r.record_id for r in got) == [f"a.csv:{i}" for i in range(2, 5)] + [f"b.csv:{i}" for i in range(2, 7)]
+    assert {r.smiles for r in got} == {"C\nC"}
+    (tmp_path / "c.csv").write_text("other,header\n1,2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        tables.read_measurement_table(spark, str(tmp_path))
+    (tmp_path / "open.csv").write_text('molecule_id,smiles,pactivity\n1,"C,5.0\n2,C,6.0\n')
+    with pytest.raises(ValueError, match="never ends"):
+        tables.read_measurement_table(spark, str(tmp_path / "open.csv"))
