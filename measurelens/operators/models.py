@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -18,17 +20,19 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from measurelens.functions.scalar import hash_unit
 from measurelens.operators import metrics
-from measurelens.operators.common import settle
+from measurelens.operators.common import carried, settle
 from measurelens.operators.features import select_features, take_features
 from measurelens.operators.neighbours import Neighbours
+from measurelens.operators.normal import matrix
 from measurelens.operators.ordered import numbered
+from measurelens.operators.scorers import scorer
 from measurelens.operators.splits import group_folds, group_holdout, oversample, stratified_folds, stratified_holdout
 
 CLASSIFIERS = {
@@ -53,7 +57,8 @@ REGRESSORS = {
 class Ridge:
     """Least squares plus ``penalty`` times the sum of squared coefficients, however many rows there are.
 
-    Spark divides the squared errors by twice their number, hence the penalty per row.
+    Spark divides the squared errors by twice their number and applies its penalty to
+    a target of unit deviation, hence the penalty per row times that deviation.
     """
 
     def __init__(self, penalty: float = 10.0):
@@ -64,8 +69,9 @@ class Ridge:
         return self
 
     def fit(self, rows: DataFrame):
-        share = self.penalty / max(1, rows.count())
-        return LinearRegression(regParam=share, elasticNetParam=0.0, standardization=False).setLabelCol(self.label).fit(rows)
+        n, spread = rows.agg(F.count(F.lit(1)), F.stddev_pop(self.label)).head()
+        share = self.penalty / max(1, n) * (spread or 1.0)
+        return LinearRegression(regParam=share, elasticNetParam=0.0, standardization=False, solver="normal").setLabelCol(self.label).fit(rows)
 
 
 def perceptron(layers: Sequence[int], seed: int = 42) -> MultilayerPerceptronClassifier:
@@ -209,21 +215,38 @@ def check_schema(spark, path: str, names: Sequence[str]) -> None:
 def permutation_importance(model, test: DataFrame, *, row: str, target: str, width: int, repeats: int = 5, seed: int = 42) -> DataFrame:
     """RMSE increase when one feature is taken from another row of the test set.
 
-    Each repeat pairs every row with a donor row through two hash orders; the
-    model then scores all (feature, repeat, row) copies in one pass.
+    Each repeat pairs every row with a donor row through two hash orders.  A task
+    predicts its rows once, then replaces one column at a time in place and sends
+    features x repeats sums; rows are never copied per feature.  Columns that a
+    model does not use have importance zero without being scored.
     """
-    rows = test.select(row, target, vector_to_array("features").alias("_x"))
+    rows = test.select(row, F.col(target).cast("double").alias("_y"), vector_to_array("features").alias("_x"))
     reps = rows.select(row, "_x").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     here = numbered(reps.select(row, "rep"), ["rep"], hash_unit(seed, "to", F.col("rep"), F.col(row)), tie=[row]).select("rep", "position", row)
     donor = numbered(reps, ["rep"], hash_unit(seed, "from", F.col("rep"), F.col(row)), tie=[row]).select("rep", "position", F.col("_x").alias("_d"))
-    mixed = here.join(donor, ["rep", "position"]).join(rows, row).withColumn("feature", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    swapped = F.transform("_x", lambda x, i: F.when(i == F.col("feature"), F.get("_d", i)).otherwise(x))
-    scored = model.transform(mixed.withColumn("features", array_to_vector(swapped)))
-    e = F.col(target) - F.col("prediction")
-    per = scored.groupBy("feature", "rep").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
-    base = model.transform(test).agg(F.sqrt(F.avg(e * e)).alias("base"))
+    pairs = here.join(donor, ["rep", "position"]).join(rows, row).select("rep", "_y", "_x", "_d")
+    shared = carried(test.sparkSession, scorer(model))
+
+    def run(batches):
+        found, sums = shared(), {}
+        for batch in batches:
+            for first in range(0, batch.num_rows, 4096):
+                part = batch.slice(first, 4096)
+                rep = part.column(0).to_numpy(zero_copy_only=False)
+                y, x, d = part.column(1).to_numpy(zero_copy_only=False), matrix(part.column(2), width), matrix(part.column(3), width)
+                state = found.start(x)
+                errors = [y - found.value(state)] + [y - found.swapped(state, x, f, d[:, f]) for f in range(width)]
+                for r in np.unique(rep).tolist():
+                    new = np.array([(e[rep == r] ** 2).sum() for e in errors])
+                    n, old = sums.get(r, (0, 0.0))
+                    sums[r] = (n + int((rep == r).sum()), old + new)
+        for r, (n, s) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, width), pa.int32()), pa.array(np.full(width + 1, r), pa.int32()), pa.array(np.full(width + 1, n)), pa.array(s)], ["feature", "rep", "n", "sse"])
+
+    total = pairs.mapInArrow(run, "feature int, rep int, n long, sse double").groupBy("feature", "rep").agg(F.sqrt(F.sum("sse") / F.sum("n")).alias("rmse"))
+    base = total.where("feature < 0").select("rep", F.col("rmse").alias("base"))
     drop = F.col("rmse") - F.col("base")
-    return per.join(F.broadcast(base)).groupBy("feature").agg(F.avg(drop).alias("importance"), F.stddev_pop(drop).alias("sd"))
+    return total.where("feature >= 0").join(F.broadcast(base), "rep").groupBy("feature").agg(F.avg(drop).alias("importance"), F.stddev_pop(drop).alias("sd"))
 
 
 def impurity_importance(model, spark) -> DataFrame:

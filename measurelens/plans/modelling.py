@@ -224,13 +224,6 @@ def m6(spark, d):
     return shortlist.batch_status(source, p.where("p_type <> 'PROMO'").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("prediction")), key="id").select("id", "status")
 
 
-@query("M7_permutation_importance")
-def m7(spark, d):
-    rows = settle(features.take_features(_target(spark, d), "x", list(range(WIDTH)), width=WIDTH))
-    model = models.REGRESSORS["ridge"](42).setLabelCol("y").fit(rows)
-    return models.permutation_importance(model, rows, row="id", target="y", width=WIDTH, repeats=5)
-
-
 @query("M7_impurity_importance")
 def m7b(spark, d):
     rows = settle(features.take_features(_target(spark, d), "x", list(range(WIDTH)), width=WIDTH))

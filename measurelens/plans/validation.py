@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from measurelens.operators import metrics, neighbours, normal, splits
+from measurelens.operators import features, metrics, models, neighbours, normal, splits
 from measurelens.operators.common import settle
 from measurelens.plans.modelling import WIDTH, _target
 from measurelens.plans.partitions import folds_sql
@@ -118,3 +118,18 @@ def m1_models(spark, d):
     test, found = _neighbours(spark, d)
     said = neighbours.vote(found).withColumnRenamed("prediction", "voted").join(neighbours.average(found).withColumnRenamed("prediction", "averaged"), "_q")
     return rounded(test.select("id", F.col("label").alias("actual")).join(said, F.col("id") == F.col("_q")).drop("_q"))
+
+
+@query(
+    "M7_permutation_importance",
+    f"""WITH RECURSIVE {ROWS}, mx AS MATERIALIZED (SELECT i, avg(v) AS m FROM f GROUP BY 1), fc AS MATERIALIZED (SELECT id, i, v - m AS v FROM f JOIN mx USING (i)), my AS (SELECT avg(y) AS m FROM rw),
+     ms AS MATERIALIZED (SELECT 0 AS t, x.i, c.i AS j, sum(x.v * c.v) + CASE WHEN x.i = c.i THEN 10 ELSE 0 END AS v FROM fc x JOIN fc c USING (id) GROUP BY 2, 3 UNION ALL SELECT 0, i, {WIDTH}, sum(v * y) FROM fc JOIN rw USING (id) GROUP BY 2), {solved('ms')},
+     er AS (SELECT id, y - my.m - p AS e FROM rw JOIN (SELECT id, sum(fc.v * sv.v) AS p FROM fc JOIN sv USING (i) GROUP BY 1) USING (id), my), rp AS (SELECT id, unnest(range(1, 6)) AS rep FROM rw),
+     th AS (SELECT rep, id, rank() OVER (PARTITION BY rep ORDER BY {HASH.format("'42:to:' || rep || ':' || id")}) AS k FROM rp), fr AS (SELECT rep, id AS donor, rank() OVER (PARTITION BY rep ORDER BY {HASH.format("'42:from:' || rep || ':' || id")}) AS k FROM rp),
+     rm AS (SELECT rep, a.i, sqrt(avg((e - sv.v * (d.v - a.v)) ** 2)) - (SELECT sqrt(avg(e * e)) FROM er) AS r FROM th JOIN fr USING (rep, k) JOIN er USING (id) JOIN fc a USING (id) JOIN fc d ON d.id = donor AND d.i = a.i JOIN sv ON sv.i = a.i GROUP BY 1, 2)
+    SELECT CAST(i AS INTEGER) AS feature, round(avg(r), 5) + 0.0 AS importance, round(stddev_pop(r), 5) AS sd FROM rm GROUP BY 1""",
+)
+def m7(spark, d):
+    rows = settle(features.take_features(_target(spark, d), "x", list(range(WIDTH)), width=WIDTH))
+    model = models.REGRESSORS["ridge"](42).setLabelCol("y").fit(rows)
+    return rounded(models.permutation_importance(model, rows, row="id", target="y", width=WIDTH, repeats=5), 5)
