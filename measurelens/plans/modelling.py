@@ -180,12 +180,12 @@ def f9(spark, d):
     return rounded(features.perturb_poses(atoms(spark, d), seed=7, fixed=F.col("entity") == 0))
 
 
-MODEL = dict(row="id", array="x", width=WIDTH, k=2, variance=0.0, correlation=0.95)
+MODEL = dict(row="id", array="x", width=WIDTH, k=3, variance=0.01, correlation=0.95)
 
 
 @query("M1_classifier_comparison")
 def m1(spark, d):
-    return models.compare_classifiers(emb(spark, d), label="label", group=None, names=["decision_tree", "naive_bayes", "small_forest"], **MODEL)[0]
+    return models.compare_classifiers(emb(spark, d), label="label", group=None, names=["decision_tree", "naive_bayes", "nearest_neighbors", "small_forest"], **MODEL)[0]
 
 
 @query("R8_naive_protocol")
@@ -201,7 +201,7 @@ def _target(spark, d):
 
 @query("M2_regressor_comparison")
 def m2(spark, d):
-    return models.compare_regressors(_target(spark, d), target="y", stratum="stratum", group=None, names=["ridge", "small_forest"], **MODEL)[0]
+    return models.compare_regressors(_target(spark, d), target="y", stratum="stratum", group=None, names=["nearest_neighbors", "ridge", "small_forest"], **MODEL)[0]
 
 
 @query("M3_deployment_refit")
