@@ -25,6 +25,7 @@ Features, sets and signatures are compared by 64-bit codes.
 from __future__ import annotations
 
 import gc
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -42,6 +43,7 @@ from measurelens.operators.common import settle
 WIDTH = 5
 SHARE = (3, 4)  # similar: intersection / union >= 3 / 4
 SLAB = 4_000_000  # bytes of text whose signatures travel together
+SIG_BYTES = 5  # of a signature that travel; its range of codes stands for the high bits
 OFTEN = 8  # sets of one slab that hold a feature before it may count as frequent
 FREQUENT = 500_000  # frequent features at most; the list only orders the parts
 MAP_BITS = 1 << 23  # of the bit map of wanted ids
@@ -49,6 +51,7 @@ BLOCK = 1000
 NEAREST = 2
 FEW = 3
 HELD = 500_000  # pairs that a task holds before it hands them on
+SPREAD = 16  # tasks over which the signatures with one first member are dealt
 CROWD = 8  # members of a signature that are paired at once
 
 _EMPTY = np.zeros(0, np.int64)
@@ -190,50 +193,72 @@ BLOBS = T.StructType(
         T.StructField("range", T.IntegerType()),
         T.StructField("keys", T.BinaryType()),
         T.StructField("sizes", T.BinaryType()),
-        T.StructField("counts", T.BinaryType()),
+        T.StructField("own", T.BinaryType()),
+        T.StructField("lower", T.BinaryType()),
         T.StructField("sigs", T.BinaryType()),
     ]
 )
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones: small numbers leave planes of zeros, which the shuffle packs."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+
+
 def signature_blobs(rows: DataFrame, frequent: np.ndarray, ranges: int, width: int, share) -> DataFrame:
-    """For every slab and range of codes one row of packed (key, size, signatures)."""
+    """For every slab and range of codes one row of packed (key, size, signatures).
+
+    A set has one entry per range, with the numbers of its signatures for its own
+    band and for the next.  Signatures travel by their low ``SIG_BYTES`` bytes: the
+    range holds the high bits, and two that are taken for one only make a candidate.
+    """
     shared = sent(rows.sparkSession, frequent)
 
     def run(batches):
         frequent = None
         for slab in slabs(batches, SLAB):
             frequent = shared() if frequent is None else frequent
-            held = []
+            keys, sizes, entries, sigs = [], [], [], []
+            base = 0
             for piece in slab:
                 owner, code, size = sets_of(piece.column(0), width)
                 if not len(code):
                     continue
-                key = set_keys(owner, code, size)
                 who, lower, count, sig = signatures(owner, code, size, bands(int(size.max()), share), frequent, share)
-                held.append((key[who], np.where(lower, -size[who], size[who]), count, sig))
-            if not held:
+                keys.append(set_keys(owner, code, size))
+                sizes.append(size)
+                entries.append(np.repeat(2 * (base + who.astype(np.int64)) + lower, count))  # odd for the band above a set's own
+                sigs.append(sig)
+                base += len(size)
+            if not keys:
                 continue
-            key, size, count, sig = (np.concatenate(x) for x in zip(*held))
-            del held
-            entry = np.repeat(np.arange(len(key), dtype=np.int32), count)
-            part = ((sig >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(ranges + 1))
+            key, size, entry, sig = (np.concatenate(x) for x in (keys, sizes, entries, sigs))
+            del keys, sizes, entries, sigs
+            part = ((sig >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(part * (2 * base) + entry)
+            part, entry = part[order], entry[order]
+            packed = sig[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES]
+            del sig, order
+            cuts = np.searchsorted(part, np.arange(ranges + 1))
             for r in range(ranges):
-                mine = order[cuts[r] : cuts[r + 1]]
-                if not len(mine):
+                first, last = cuts[r], cuts[r + 1]
+                if first == last:
                     continue
-                e = entry[mine]
-                new = np.flatnonzero(np.concatenate(([True], e[1:] != e[:-1])))
-                who = e[new]
+                e = entry[first:last]
+                who, of = np.unique(e >> 1, return_inverse=True)
+                above = np.bincount(of[(e & 1) == 1], minlength=len(who))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r], pa.int32()),
                         pa.array([key[who].tobytes()], pa.binary()),
-                        pa.array([size[who].astype(np.int32).tobytes()], pa.binary()),
-                        pa.array([np.diff(np.append(new, len(e))).astype(np.uint32).tobytes()], pa.binary()),
-                        pa.array([sig[mine].tobytes()], pa.binary()),
+                        pa.array([planes(size[who])], pa.binary()),
+                        pa.array([planes(np.bincount(of, minlength=len(who)) - above)], pa.binary()),
+                        pa.array([planes(above)], pa.binary()),
+                        pa.array([packed[first:last].tobytes()], pa.binary()),
                     ],
                     BLOBS.fieldNames(),
                 )
@@ -260,10 +285,13 @@ def meet(blobs: DataFrame, share, crowd: int) -> DataFrame:
         keys, sizes, counts, sigs = [], [], [], []
         for batch in batches:
             for row in batch.to_pylist():
-                keys.append(np.frombuffer(row["keys"], np.int64))
-                sizes.append(np.frombuffer(row["sizes"], np.int32))
-                counts.append(np.frombuffer(row["counts"], np.uint32))
-                sigs.append(np.frombuffer(row["sigs"], np.uint64))
+                key, size = np.frombuffer(row["keys"], np.int64), from_planes(row["sizes"]).astype(np.int32)
+                keys.append(np.repeat(key, 2))
+                sizes.append(np.stack((size, -size), axis=1).ravel())
+                counts.append(np.stack((from_planes(row["own"]), from_planes(row["lower"])), axis=1).ravel())
+                wide = np.zeros((len(row["sigs"]) // SIG_BYTES, 8), np.uint8)
+                wide[:, :SIG_BYTES] = np.frombuffer(row["sigs"], np.uint8).reshape(-1, SIG_BYTES)
+                sigs.append(wide.view("<u8")[:, 0] | np.uint64(row["range"]) << np.uint64(8 * SIG_BYTES))
         if not keys:
             return
         sig = np.concatenate(sigs)
@@ -320,13 +348,18 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("a", "b", count(F.array_intersect("codes_a", "codes_b")).alias("common"), count("codes_a").alias("size_a"), count("codes_b").alias("size_b"))
 
 
-def likely(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
-    """The rows whose value is in ``wanted``, and few others, by a bit map of fixed size (``MAP_BITS`` / 32 words at most)."""
+def flagged(rows: DataFrame, wanted: DataFrame, column: str, flag: str) -> DataFrame:
+    """``rows`` with ``flag``: true if the value is in ``wanted``, and for few others, by a bit map of fixed size (``MAP_BITS`` / 32 words at most)."""
     place = F.pmod(F.xxhash64(column), F.lit(MAP_BITS)).cast("int")
     bit = F.expr("shiftleft(1L, pmod(_p, 32))")
     words = wanted.select(place.alias("_p")).groupBy(F.shiftright("_p", 5).alias("_w")).agg(F.bit_or(bit).alias("_bits"))
-    marked = rows.withColumn("_p", place).withColumn("_w", F.shiftright("_p", 5))
-    return marked.join(F.broadcast(words), "_w").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_p", "_w", "_bits")
+    marked = rows.withColumn("_p", place).withColumn("_w", F.shiftright("_p", 5)).join(F.broadcast(words), "_w", "left")
+    return marked.withColumn(flag, F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_p", "_w", "_bits")
+
+
+def likely(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The rows whose value is in ``wanted``, and few others."""
+    return flagged(rows, wanted, column, "_likely").where("_likely").drop("_likely")
 
 
 def load_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -402,7 +435,7 @@ def open_pairs(crowded: DataFrame, counts: DataFrame, roots: DataFrame, share, t
     large = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("i"), (-1 - place(F.col("chunks"))).alias("j")))
     members = members.withColumn("own", F.when(F.col("root") == F.col("major"), -1).otherwise(place(F.col("blocks"))))
     members = members.withColumn("u", F.explode(F.when(F.col("own") < 0, large).otherwise(F.concat(among, across))))
-    members = members.select("sig", F.xxhash64("a", F.pmod("sig", F.lit(2))).alias("near"), "u.i", "u.j", "own", "key", "z", "root", "counts")
+    members = members.select("sig", F.xxhash64("a", F.pmod("sig", F.lit(SPREAD))).alias("near"), "u.i", "u.j", "own", "key", "z", "root", "counts")
     parts = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # signatures with the same first member hold much the same sets: together, a pair of theirs is told once
     dealt = members.repartition(parts, "near", "i", "j").drop("near").sortWithinPartitions("sig", "i", "j")
@@ -539,6 +572,43 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     return out.select(F.col("_id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, share=SHARE, crowd: int = CROWD) -> DataFrame:
+    """One row of ``docs`` from each group of similar texts: that of the smallest id, then of the smallest text; null ids come last.
+
+    Rows are told apart by their texts, not by their ids.  Texts without words
+    resemble nothing, so all of them stay.  The choice is made on ids and set keys;
+    a bit map then lets nearly all rows that stay pass where they are.  Only rows
+    that it cannot tell from those that go are dealt anew, and only rows of one
+    group with the same smallest id are compared in full.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c.lower(): n for c, n in zip(docs.columns, names)}
+    plain, id_, text_ = docs.toDF(*names), at[doc_id.lower()], at[text.lower()]
+    seen, roots = similar_sets(docs, doc_id=doc_id, text=text, width=width, share=share, crowd=crowd)
+    each = seen.where("code is null and n > 0").groupBy("key", "_id").agg(F.count(F.lit(1)).alias("rows"))
+    # written, so that the joins below deal both sides anew and Spark can split a large group
+    each = settle(each.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    first = each.groupBy("root").agg(F.min(F.struct(F.isnull("_id").alias("no_id"), "_id")).alias("first"), F.sum("rows").alias("load"))
+    first = settle(first.where("load > 1").select("root", F.col("first._id").alias("least")))
+    met = each.join(first, "root").withColumn("tie", F.col("_id").eqNullSafe(F.col("least")))
+    tied = met.where("tie").groupBy("root").agg(F.sum("rows").alias("load")).where("load > 1").select("root", F.lit(True).alias("open"))
+    doubt = settle(met.join(tied, "root", "left").where("not tie or open").select("key", F.col("_id").alias("known"), "tie", "root"))
+    rows = with_sets(plain, text=text_, width=width, carry=names).withColumn("_pick", F.xxhash64("set_key", id_))
+    rows = flagged(rows, doubt.select(F.xxhash64("key", "known").alias("_pick")), "_pick", "_doubt")
+    known = rows.where("_doubt").join(doubt, (F.col("set_key") == F.col("key")) & F.col(id_).eqNullSafe(F.col("known")), "left")
+    order = [id_, text_, *[n for n in names if n not in (id_, text_)]]
+    sortable = [n for n in order if not re.search("map<|variant", plain.schema[n].dataType.simpleString())]
+    odd = [n for n in order if n not in sortable]
+    best = known.where("tie").select(
+        "root",
+        F.struct(*[x for n in sortable for x in (F.isnull(n).alias(f"no_{n}"), F.col(n))]).alias("_first"),
+        F.struct(F.lit(0).alias("_"), *odd).alias("_odd"),
+    )
+    best = best.groupBy("root").agg(F.min("_first").alias("_first"), *([F.min_by("_odd", "_first").alias("_odd")] if odd else []))
+    best = best.select(*[F.col(f"_odd.{n}" if n in odd else f"_first.{n}").alias(n) for n in names])
+    return rows.where("not _doubt").select(*names).unionAll(known.where("tie is null").select(*names)).unionAll(best).toDF(*docs.columns)
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir).select("doc_id", "text"))
 

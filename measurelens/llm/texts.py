@@ -56,8 +56,12 @@ def map_texts(docs: DataFrame, text: str, results: T.StructType, start: Callable
     """
     taken = {f.name.lower() for f in results}
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in taken]
-    rows = docs.select(F.coalesce(name_of(text).cast("string"), F.lit("")).alias("_text"), *[name_of(c).alias(f"_k{i}") for i, c in enumerate(carry)])
-    kept = [T.StructField(f"_k{i}", rows.schema[f"_k{i}"].dataType) for i in range(len(carry))]
+    # a carried text goes to the task once, with a flag where it is null
+    twin = next((i for i, c in enumerate(carry) if c == text and isinstance(docs.select(name_of(c)).schema[0].dataType, T.StringType)), None)
+    rows = docs.select(
+        F.coalesce(name_of(text).cast("string"), F.lit("")).alias("_text"), *[(F.isnull(name_of(c)) if i == twin else name_of(c)).alias(f"_k{i}") for i, c in enumerate(carry)]
+    )
+    kept = [T.StructField(f"_k{i}", T.StringType() if i == twin else rows.schema[f"_k{i}"].dataType) for i in range(len(carry))]
     schema = T.StructType(kept + list(results))
     names = schema.fieldNames()
 
@@ -66,7 +70,12 @@ def map_texts(docs: DataFrame, text: str, results: T.StructType, start: Callable
         for batch in batches:
             for piece in pieces(batch, 0):
                 work = work or start()
-                yield pa.RecordBatch.from_arrays([*piece.columns[1:], *work(piece.column(0))], names)
+                keys = piece.columns[1:]
+                if twin is not None:
+                    none = keys[twin].to_numpy(zero_copy_only=False)
+                    at = pa.array(np.arange(len(none)), mask=none)
+                    keys[twin] = piece.column(0).take(at) if none.any() else piece.column(0)
+                yield pa.RecordBatch.from_arrays([*keys, *work(piece.column(0))], names)
 
     out = rows.mapInArrow(run, schema)
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(carry)], *[f.name for f in results])
