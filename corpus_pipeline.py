@@ -6,8 +6,6 @@ and returns a DataFrame; all but the last return the columns of ``docs``.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,16 +14,18 @@ from measurelens.llm.texts import learn_bucket
 from measurelens.operators.common import settle
 
 
-def whole(docs: DataFrame) -> DataFrame:
-    """The text and all columns as one, so that no column clashes with a result."""
-    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+def renamed(docs: DataFrame) -> tuple[DataFrame, list[str], str]:
+    """The rows under names that clash with no result, these names, and that of the text."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names, names[docs.columns.index("text")]
 
 
 def reject_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with a toxicity score of at least 0.5; the model learns from the labelled ones among ``docs``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, learn_bucket(F.col("doc_id"), 5) != 0, label="toxic")
-    return toxicity.score(whole(docs), model, carry=["_row"]).where("score < 0.5").select("_row.*")
+    rows, names, text = renamed(docs)
+    return toxicity.score(rows, model, text=text, carry=names).where("score < 0.5").select(*names).toDF(*docs.columns)
 
 
 def deduplicate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,38 +34,25 @@ def deduplicate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by their texts, not by their ids.  Texts without words
     resemble nothing, so all of them stay.
     """
-    order = ["doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
-    sortable = [c for c in order if not re.search("map<|variant", docs.schema[c].dataType.simpleString())]
-    odd = [c for c in order if c not in sortable]
-    _, roots = jaccard.similar_sets(docs)
-    rows = jaccard.with_sets(whole(docs), carry=["_row"])
-    alone = F.xxhash64(F.lit("no words"), F.monotonically_increasing_id())
-    rows = rows.select(
-        F.when(F.col("n_shingles") > 0, F.col("set_key")).otherwise(alone).alias("node"),
-        F.struct(*[x for i, c in enumerate(sortable) for x in (F.col(f"_row.`{c}`").isNull().alias(f"n{i}"), F.col(f"_row.`{c}`").alias(f"v{i}"))]).alias("_first"),
-        F.struct(F.lit(0).alias("_"), *[F.col(f"_row.`{c}`").alias(f"o{i}") for i, c in enumerate(odd)]).alias("_odd"),
-    )
-    kept = [F.min("_first").alias("_first"), *([F.min_by("_odd", "_first").alias("_odd")] if odd else [])]
-    # copies first, so that the join meets every set once
-    one = rows.groupBy("node").agg(*kept).join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(*kept)
-    values = {c: F.col(f"_first.v{i}") for i, c in enumerate(sortable)} | {c: F.col(f"_odd.o{i}") for i, c in enumerate(odd)}
-    return one.select(*[values[c].alias(c) for c in docs.columns])
+    return jaccard.keep_one(docs)
 
 
 def clean_benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
-    found = decontaminate.decontaminate(whole(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["_row"])
-    return found.where(F.size("hit_ranges") == 0).select("_row.*")
+    rows, names, text = renamed(docs)
+    found = decontaminate.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text=text, carry=names)
+    return found.where(F.size("hit_ranges") == 0).select(*names).toDF(*docs.columns)
 
 
 def mask_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret by its kind in angle brackets and count the characters anew; all documents stay."""
-    found = secrets.findings(whole(docs), secrets.scan(docs))
-    masked = found.withColumn("text", secrets.masked(F.col("text"), F.col("spans")))
-    new = {"text": F.col("text")}
+    rows, names, text = renamed(docs)
+    found = secrets.findings(rows, secrets.scan(rows, text=text), text=text)
+    masked = found.withColumn(text, secrets.masked(F.col(text), F.col("spans")))
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType)
-    return masked.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+        count = names[docs.columns.index("n_chars")]
+        masked = masked.withColumn(count, F.length(F.coalesce(text, F.lit(""))).cast(docs.schema["n_chars"].dataType))
+    return masked.select(*names).toDF(*docs.columns)
 
 
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
