@@ -7,8 +7,9 @@ bucket of that block and of the same leading bytes are compared with the text.
 Many cursors walk one piece of text side by side as a numpy array.
 
 A document may hold any number of occurrences; all of them count.  Benchmark rows
-without an id or without words give no windows.  Null and empty texts have no
-words and are clean.  The patterns travel by broadcast in blocks of at most
+without words give no windows; the windows of a row without an id hit words but
+name no item.  Ids may be whole numbers or texts.  Null and empty texts have no
+words and are clean.  The patterns travel by broadcast in blocks of about
 ``BLOCK_BYTES`` of benchmark text, one pass over the documents per block.
 """
 
@@ -95,7 +96,7 @@ class ShiftTable:
 class Matcher:
     """All windows of some benchmark rows."""
 
-    def __init__(self, rows: list[tuple[int, str]], window: int):
+    def __init__(self, rows: list[tuple[int | str | None, str]], window: int):
         texts, self.items, self.words = {}, [], []
         for item, text in rows:
             tokens = words_of(text)
@@ -106,7 +107,8 @@ class Matcher:
                     texts[key] = len(self.items)
                     self.items.append(set())
                     self.words.append(len(span))
-                self.items[texts[key]].add(item)
+                if item is not None:
+                    self.items[texts[key]].add(item)
         self.items = [sorted(s) for s in self.items]
         parts = [[p for p in texts if len(p) >= LONG], [p for p in texts if len(p) < LONG]]
         self.tables = [ShiftTable(part, [texts[p] for p in part]) for part in parts if part]
@@ -148,13 +150,14 @@ def words_of(text: str | None) -> list[bytes]:
     return np.where(ALNUM[data], LOWER[data], np.uint8(0x20)).tobytes().split()
 
 
-RESULTS = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("hit_ranges", T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))),
-        T.StructField("items", T.ArrayType(T.LongType())),
-    ]
-)
+def results(item: T.DataType) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("n_words", T.LongType()),
+            T.StructField("hit_ranges", T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))),
+            T.StructField("items", T.ArrayType(item)),
+        ]
+    )
 
 
 def merged(ranges) -> list[tuple[int, int]]:
@@ -180,22 +183,25 @@ def decontaminate(
 ) -> DataFrame:
     """The rows of ``docs`` with ``n_words``, ``hit_ranges`` (merged word ranges, end exclusive) and ``items``.
 
-    ``items`` are the sorted ids of benchmark rows with an occurring window.
+    ``items`` are the sorted ids of benchmark rows with an occurring window, as
+    whole numbers where the column holds such, else as strings.
     """
     spark = docs.sparkSession
-    rows = benchmark.select(name_of(item_id).cast("long").alias("i"), name_of(item_text).cast("string").alias("t")).where("i is not null and t is not null")
+    whole = isinstance(benchmark.select(name_of(item_id)).schema[0].dataType, T.IntegralType)
+    item = T.LongType() if whole else T.StringType()
+    rows = benchmark.select(name_of(item_id).cast(item).alias("i"), name_of(item_text).cast("string").alias("t")).where("t is not null").distinct()
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / block_bytes))
     out = None
     for block in range(blocks):
-        # one row more than its share of bytes at most: the block was sized above
-        part = rows.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()
+        # about a block's share of bytes: distinct rows are dealt by hash of id and text
+        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()
         shared = share(spark, Matcher([(r.i, r.t) for r in part], window))
         source = docs if out is None else settle(out)
         before = out is not None
         keep = list(docs.columns if carry is None else carry)
         needed = keep + [c for c in (text,) if c not in keep and blocks > 1] + (["_ranges", "_items"] if before else [])
-        found = map_texts(source, text, RESULTS, lambda shared=shared: _start(shared), carry=needed)
+        found = map_texts(source, text, results(item), lambda shared=shared: _start(shared, whole), carry=needed)
         if before:
             found = found.withColumns({"hit_ranges": F.concat("_ranges", "hit_ranges"), "items": F.array_distinct(F.concat("_items", "items"))}).drop("_ranges", "_items")
         out = found if block + 1 == blocks else found.withColumnsRenamed({"hit_ranges": "_ranges", "items": "_items"})
@@ -215,7 +221,7 @@ def _merge(ranges):
     return F.aggregate(F.array_sort(ranges), F.slice(ranges, 1, 0), step)
 
 
-def _start(shared):
+def _start(shared, whole: bool):
     matcher = shared()
 
     def work(col):
@@ -223,7 +229,7 @@ def _start(shared):
         return [
             pa.array(count, pa.int64()),
             pa.array([[{"lo": a, "hi": b} for a, b in merged(r)] for r in ranges], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
-            pa.array([sorted(s) for s in items], pa.list_(pa.int64())),
+            pa.array([sorted(s) for s in items], pa.list_(pa.int64() if whole else pa.string())),
         ]
 
     return work
@@ -251,7 +257,7 @@ SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), b AS (
-  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
 ), g AS (
   SELECT DISTINCT item_id, least(10, len(w)) AS k, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda i: array_to_string(w[i:i + 9], ' '))) AS win FROM b WHERE len(w) > 0
 ), x AS (
@@ -261,7 +267,7 @@ WITH d AS (
 ), hit AS (
   SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS pos FROM h) GROUP BY doc_id
 ), it AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id
 )
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id

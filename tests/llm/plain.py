@@ -48,8 +48,8 @@ def contamination(rows, items):
     windows = collections.defaultdict(set)
     for item, text in items:
         w = words(text, ALNUM)
-        for g in ([tuple(w)] if len(w) < 10 else [tuple(w[i : i + 10]) for i in range(len(w) - 9)]) if w and item is not None else []:
-            windows[g].add(item)
+        for g in ([tuple(w)] if len(w) < 10 else [tuple(w[i : i + 10]) for i in range(len(w) - 9)]) if w else []:
+            windows[g] |= set() if item is None else {item}
     sizes = {len(g) for g in windows}
     for d, text in rows:
         w = words(text, ALNUM)
