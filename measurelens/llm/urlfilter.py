@@ -2,12 +2,16 @@
 
 Labelled URLs become transactions of tokens and their label.  FP-growth mines the
 frequent combinations, and the rules that lead to a label are pruned by support and
-confidence.  An inverted index lists every rule under its rarest token; a URL is
-met with the rules of its tokens, and a rule fires if the URL has all its tokens.
-The surest rule decides (then support, then length, then "block").
+confidence.  A rule goes if one without one of its tokens leads to the same verdict
+at least as surely: that one fires whenever it does.  An inverted index lists every
+rule under its rarest token; a URL is met with the rules of its tokens, and a rule
+fires if the URL has all its tokens.  The surest rule decides (then support, then
+"block"), so dropped rules change no verdict.
 
-There are at most (subsets of a transaction's tokens) / support rules, a bound that
-does not depend on the number of rows; only this list is broadcast.
+The number of mined rules does not depend on that of the rows, but doubles with
+every token that frequent URLs share: at most (subsets of a URL's tokens) / support.
+The index is broadcast where it is counted to hold at most ``BROADCAST_RULES``
+rules, and joined by token otherwise.
 
 Null URLs and those without ``://`` have an empty host and path and no tokens;
 URLs on which no rule fires get the default verdict.
@@ -31,6 +35,7 @@ MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.8
 LABEL = "\x00label:"  # no URL token starts with this
 DEFAULT = "allow"
+BROADCAST_RULES = 50_000
 
 
 def host_of(url: Column) -> Column:
@@ -83,7 +88,7 @@ def mine(labelled: DataFrame, *, url: str = "url", label: str = "label", min_sup
     rules = model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL)).select(
         F.array_sort("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), len(LABEL) + 1, 1 << 20).alias("verdict"), "confidence", "support"
     )
-    rules = settle(rules.where(F.size("tokens") > 0))
+    rules = settle(pruned(settle(rules.where(F.size("tokens") > 0))))
     # how rare a token is among the rules' own single-token sets
     single = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
     keyed = rules.select("*", F.explode("tokens").alias("token")).join(single, "token")
@@ -91,13 +96,30 @@ def mine(labelled: DataFrame, *, url: str = "url", label: str = "label", min_sup
     return key.select("tokens", F.col("k.token").alias("key"), "verdict", "confidence", "support")
 
 
-def match(urls: DataFrame, rules: DataFrame, *, url: str = "url") -> DataFrame:
+def pruned(rules: DataFrame) -> DataFrame:
+    """The rules (tokens, verdict, confidence, support) that no rule with one token less makes redundant.
+
+    A dropped rule's better one may be dropped in turn, for one that is better still; the last of such a row stays.
+    """
+    less = rules.where(F.size("tokens") > 1).select("tokens", "verdict", "confidence", F.explode("tokens").alias("out"))
+    less = less.select("tokens", "verdict", "confidence", F.array_except("tokens", F.array("out")).alias("fewer"))
+    short = rules.select(F.col("tokens").alias("fewer"), "verdict", F.col("confidence").alias("sure"))
+    redundant = less.join(short, ["fewer", "verdict"]).where("sure >= confidence").select("tokens", "verdict").distinct()
+    return rules.join(redundant, ["tokens", "verdict"], "left_anti").select("tokens", "verdict", "confidence", "support")
+
+
+def match(urls: DataFrame, rules: DataFrame, *, url: str = "url", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
     """(url, verdict, confidence) for the distinct URLs on which a rule fires."""
-    index = F.broadcast(rules.groupBy("key").agg(F.collect_list(F.struct("tokens", "verdict", "confidence", "support")).alias("rules")))  # the rule list is bounded by the support
-    seen = urls.select(name_of(url).alias("url")).where(F.col("url").isNotNull()).distinct().withColumn("have", tokens_of(F.col("url")))
+    rules = settle(rules)
+    index = rules.groupBy("key").agg(F.collect_list(F.struct("tokens", "verdict", "confidence", "support")).alias("rules"))
+    if rules.count() <= broadcast_rules:
+        index = F.broadcast(index)
+    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a stated number of partitions: URLs are short, but every one is met with many rules
+    seen = urls.select(name_of(url).alias("url")).where(F.col("url").isNotNull()).repartition(parts, "url").distinct().withColumn("have", tokens_of(F.col("url")))
     met = seen.select("url", "have", F.explode("have").alias("key")).join(index, "key")
     fired = F.filter("rules", lambda r: F.size(F.array_except(r["tokens"], F.col("have"))) == 0)
-    best = F.array_max(F.transform(fired, lambda r: F.struct(r["confidence"].alias("confidence"), r["support"].alias("support"), F.size(r["tokens"]).alias("n"), r["verdict"].alias("verdict"))))
+    best = F.array_max(F.transform(fired, lambda r: F.struct(r["confidence"].alias("confidence"), r["support"].alias("support"), r["verdict"].alias("verdict"))))
     return met.select("url", best.alias("best")).where("best is not null").groupBy("url").agg(F.max("best").alias("best")).select("url", F.col("best.verdict").alias("verdict"), F.col("best.confidence").alias("confidence"))
 
 
