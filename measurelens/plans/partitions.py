@@ -60,19 +60,24 @@ def split_rows(spark, d):
     return rows.withColumn("grp", splits.singleton_groups("block", "id"))
 
 
-def folds_sql(k: int, seed: int, rows: str = "gr", tag: str = "") -> str:
+def folds_sql(k: int, seed: int, rows: str = "gr", tag: str = "", place: str = "rank", tie: str = "") -> str:
     u = f"floor({HASH.format(f"'{seed}:' || grp")}::DOUBLE / 4503599627370496 * 1073741824) / 1073741824"
     return f"""gc{tag} AS (SELECT grp, label, count(*) AS n FROM {rows} GROUP BY 1, 2), gm{tag} AS (SELECT grp, arg_max(label, (n, label)) AS major, CAST(sum(n) AS BIGINT) AS size FROM gc{tag} GROUP BY 1),
-     gp{tag} AS (SELECT grp, rank() OVER (PARTITION BY major ORDER BY -size::DOUBLE + {u}) - 1 AS ps FROM gm{tag}),
+     gp{tag} AS (SELECT grp, {place}() OVER (PARTITION BY major ORDER BY -size::DOUBLE + {u}{tie}) - 1 AS ps FROM gm{tag}),
      gf{tag} AS (SELECT grp, CAST(CASE WHEN (ps // {k}) % 2 = 0 THEN ps % {k} ELSE {k} - 1 - ps % {k} END AS INTEGER) AS fold FROM gp{tag})"""
 
 
-@query("R3_group_folds", f"WITH {ROWS}, {folds_sql(5, 42)} SELECT id, fold FROM gr JOIN gf USING (grp)")
+# Groups of equal size and draw follow their names, so every group has a place of its own.
+OWN_PLACE = dict(place="row_number", tie=", grp")
+FOLDS = folds_sql(5, 42, **OWN_PLACE)
+
+
+@query("R3_group_folds", f"WITH {ROWS}, {FOLDS} SELECT id, fold FROM gr JOIN gf USING (grp)")
 def r3(spark, d):
     return splits.group_folds(split_rows(spark, d), group="grp", label="label", k=5).select("id", "fold")
 
 
-@query("R3_group_holdout", f"WITH {ROWS}, {folds_sql(5, 42)} SELECT label, fold = 0 AS is_test, count(*) AS n FROM gr JOIN gf USING (grp) GROUP BY 1, 2")
+@query("R3_group_holdout", f"WITH {ROWS}, {FOLDS} SELECT label, fold = 0 AS is_test, count(*) AS n FROM gr JOIN gf USING (grp) GROUP BY 1, 2")
 def r3b(spark, d):
     return splits.group_holdout(split_rows(spark, d), group="grp", label="label").groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
@@ -137,7 +142,7 @@ def r9(spark, d):
 
 @query(
     "R10_nested_plan_sizes",
-    f"""WITH {ROWS}, {folds_sql(5, 42)}, tr AS (SELECT gr.* FROM gr JOIN gf USING (grp) WHERE fold <> 0), {folds_sql(3, 43, 'tr', 'i')}, s AS (SELECT fold, count(*) AS n FROM tr JOIN gfi USING (grp) GROUP BY 1)
+    f"""WITH {ROWS}, {FOLDS}, tr AS (SELECT gr.* FROM gr JOIN gf USING (grp) WHERE fold <> 0), {folds_sql(3, 43, 'tr', 'i', **OWN_PLACE)}, s AS (SELECT fold, count(*) AS n FROM tr JOIN gfi USING (grp) GROUP BY 1)
     SELECT 'train' AS partition, (SELECT count(*) FROM tr) AS rows, 15 AS minimum, (SELECT count(*) FROM tr) >= 15 AS passed UNION ALL SELECT 'test', (SELECT count(*) FROM gr) - (SELECT count(*) FROM tr), 3, (SELECT count(*) FROM gr) - (SELECT count(*) FROM tr) >= 3
     UNION ALL SELECT 'outer fold ' || fold || ' fit', (SELECT count(*) FROM tr) - n, 5, (SELECT count(*) FROM tr) - n >= 5 FROM s""",
 )
