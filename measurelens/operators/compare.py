@@ -147,11 +147,15 @@ def reconcile(a: DataFrame, b: DataFrame, *, key: str, alias: dict[str, str] | N
 
 
 def parity(a: DataFrame, b: DataFrame, *, keys: Sequence[str], value: str, tolerance: float) -> DataFrame:
-    """Largest absolute difference and counts beyond tolerance between two tables."""
+    """Largest absolute difference and counts beyond tolerance between two tables.
+
+    Differences are read to nine decimals: one that equals the tolerance is within
+    it, whatever the order in which the values were added up.
+    """
     left = a.select(*keys, F.col(value).alias("_a"), F.lit(True).alias("_in_a"))
     right = b.select(*keys, F.col(value).alias("_b"), F.lit(True).alias("_in_b"))
     joined = left.join(right, list(keys), "full_outer")
-    diff = F.abs(F.col("_a") - F.col("_b"))
+    diff = F.round(F.abs(F.col("_a") - F.col("_b")).cast("double"), 9)
     return joined.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("_in_a").isNull() | F.col("_in_b").isNull()).alias("unmatched"),

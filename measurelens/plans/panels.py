@@ -156,8 +156,8 @@ def j25b(spark, d):
 @query(
     "J26_numeric_parity",
     """WITH a AS (SELECT l_suppkey AS k, l_returnflag AS f, avg(l_extendedprice) AS x FROM lineitem WHERE l_suppkey > 3 GROUP BY 1, 2), c AS (SELECT l_suppkey AS k, l_returnflag AS f, round(avg(l_extendedprice), 1) AS y FROM lineitem GROUP BY 1, 2)
-    SELECT count(*) AS rows, count(*) FILTER (x IS NULL OR y IS NULL) AS unmatched, round(max(abs(x - y)), 5) AS max_abs_difference, count(*) FILTER (abs(x - y) > 0.04) AS beyond_tolerance,
-      count(*) FILTER (abs(x - y) <= 1e-8) AS identical FROM a FULL JOIN c USING (k, f)""",
+    SELECT count(*) AS rows, count(*) FILTER (x IS NULL OR y IS NULL) AS unmatched, round(max(round(abs(x - y), 9)), 5) AS max_abs_difference, count(*) FILTER (round(abs(x - y), 9) > 0.04) AS beyond_tolerance,
+      count(*) FILTER (round(abs(x - y), 9) <= 1e-8) AS identical FROM a FULL JOIN c USING (k, f)""",
 )
 def j26(spark, d):
     li = b.table(spark, d, "lineitem")
