@@ -46,3 +46,13 @@ def test_large_sets_and_sets_of_one_token(spark):
     for t in (0.7, 0.9):
         got = sim.cliffs(df, identifier="id", tokens="tokens", value="v", t=t, a=0.5).collect()
         assert [(r.id_a, r.id_b, r.similarity) for r in got] == [("1", "2", 0.95)]
+
+
+def test_far_copies_are_the_members_of_far_identical_pairs(spark):
+    rng = random.Random(4)
+    rows = [(i, [f"w{rng.randrange(3)}"], rng.randrange(9) / 2) for i in range(40)] + [(40, [], 0.0), (41, [], 9.0), (42, ["x"], 1.0)]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>, v double")
+    args = dict(identifier="id", tokens="tokens", value="v")
+    pairs = sim.identical_pairs(df, **args).where("delta > 1.5").collect()
+    got = [r.id for r in sim.far_copies(df, **args, a=1.5).collect()]
+    assert sorted(got) == sorted({i for r in pairs for i in (r.id_a, r.id_b)}) and got
