@@ -35,6 +35,9 @@ PIVOTS = 1024
 BLOCK = 2048
 # Cells that are visited before the bound is tightened for the last time.
 CLOSE = 4
+# Queries that are looked at together, and (query, row) or (query, cell) pairs whose vectors lie in memory at once.
+SLICE = 256
+PAIRS = 16_384
 
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -92,8 +95,8 @@ def _prepared(reference: DataFrame, width: int, spark) -> tuple[DataFrame, Cells
     def run(batches):
         at = Cells(box.value)
         for batch in batches:
-            for first in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(first, BLOCK)
+            for first in range(0, batch.num_rows, SLICE):
+                part = batch.slice(first, SLICE)
                 cell, away = at.home(matrix(part.column(place), width))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell, pa.int32()), pa.array(away)], names)
 
@@ -103,19 +106,45 @@ def _prepared(reference: DataFrame, width: int, spark) -> tuple[DataFrame, Cells
     return table, cells
 
 
+def _exact(queries: np.ndarray, rows: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Distance of each pair; vectors of a bounded number of pairs are taken at once."""
+    out = np.empty(len(q))
+    for first in range(0, len(q), PAIRS):
+        at = slice(first, first + PAIRS)
+        out[at] = np.sqrt(((queries[q[at]] - rows[r[at]]) ** 2).sum(1))
+    return out
+
+
 def _best(queries: np.ndarray, bound: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, distance) of up to k rows per query within its bound, by distance and then id."""
-    about = squares(queries, rows)
     k = min(k, len(rows))
-    limit = np.minimum(np.partition(about, k - 1, axis=1)[:, k - 1], np.where(np.isfinite(bound), bound * bound, np.inf))
-    size = (queries * queries).sum(1)[:, None] + (rows * rows).sum(1).max()
-    q, r = np.nonzero(about <= limit[:, None] * (1 + 1e-9) + 1e-9 * (1 + size))
-    exact = np.sqrt(((queries[q] - rows[r]) ** 2).sum(1))
-    by = np.lexsort((ids[r], exact, q))
-    q, r, exact = q[by], r[by], exact[by]
-    start = np.searchsorted(q, np.arange(len(queries)))
-    keep = np.arange(len(q)) - start[q] < k
-    return q[keep], r[keep], exact[keep]
+    longest, out = (rows * rows).sum(1).max(), []
+    # rows at the same distance are candidates all of them, so their number per query has no bound but the block
+    for first in range(0, len(queries), SLICE):
+        x, limits = queries[first : first + SLICE], bound[first : first + SLICE]
+        about = squares(x, rows)
+        limit = np.minimum(np.partition(about, k - 1, axis=1)[:, k - 1], np.where(np.isfinite(limits), limits * limits, np.inf))
+        size = (x * x).sum(1)[:, None] + longest
+        q, r = np.nonzero(about <= limit[:, None] * (1 + 1e-9) + 1e-9 * (1 + size))
+        exact = _exact(x, rows, q, r)
+        by = np.lexsort((ids[r], exact, q))
+        q, r, exact = q[by], r[by], exact[by]
+        start = np.searchsorted(q, np.arange(len(x)))
+        keep = np.arange(len(q)) - start[q] < k
+        out.append((q[keep] + first, r[keep], exact[keep]))
+    return tuple(np.concatenate(parts) for parts in zip(*out))
+
+
+def _routes(cells: Cells, batch: pa.RecordBatch, width: int, k: int, step: int, names: list[str]):
+    """Batches (_q, _x, bound, cell) of the cells that the queries of a batch visit, each of at most ``PAIRS`` rows."""
+    for first in range(0, batch.num_rows, SLICE):
+        part = batch.slice(first, SLICE)
+        bound = np.nan_to_num(part.column(2).to_numpy(zero_copy_only=False).astype(np.float64), nan=np.inf)
+        q, cell = cells.visits(matrix(part.column(1), width), bound, k, step)
+        part = part.set_column(2, "bound", pa.array(bound))
+        for at in range(0, len(q), PAIRS):
+            rows = part.take(pa.array(q[at : at + PAIRS]))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cell[at : at + PAIRS], pa.int32())], names)
 
 
 def _meet(routed: DataFrame, table: DataFrame, cells: Cells, k: int, width: int, out: T.StructType) -> DataFrame:
@@ -174,12 +203,7 @@ def nearest(queries: DataFrame, reference: DataFrame, *, query: str, row: str, a
         def route(batches, step=step, names=names):
             cells = shared()
             for batch in batches:
-                for first in range(0, batch.num_rows, BLOCK):
-                    part = batch.slice(first, BLOCK)
-                    bound = np.nan_to_num(part.column(2).to_numpy(zero_copy_only=False).astype(np.float64), nan=np.inf)
-                    q, cell = cells.visits(matrix(part.column(1), width), bound, k, step)
-                    part = part.set_column(2, "bound", pa.array(bound)).take(pa.array(q))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell, pa.int32())], names)
+                yield from _routes(cells, batch, width, k, step, names)
 
         routed = settle(rows.mapInArrow(route, schema))
         new = _meet(routed, table, cells, k, width, out)
