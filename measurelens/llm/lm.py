@@ -251,9 +251,14 @@ class Events:
     def slots(self, at: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
         """Slot in the joint table of every context, for bytes ``at`` at tree nodes ``node``."""
         out, base = [], 0
+        code = node.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
         for c, bits in zip(self.contexts, SLOTS):
-            h = (c[at] + node.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)) * np.uint64(0xD6E8FEB86659FD93)
-            out.append((h >> np.uint64(64 - bits)).astype(np.int64) + base)
+            h = c[at]
+            h += code
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h >>= np.uint64(64 - bits)
+            out.append(h.view(np.int64))
+            out[-1] += base
             base += 1 << bits
         return out
 
@@ -288,14 +293,19 @@ class Mixer:
         self.weights = np.full((GATES, len(SLOTS)), 0.3) if weights is None else weights
         self.refine = refine
 
+    def final(self) -> tuple[np.ndarray, np.ndarray]:
+        """Logit and total of every slot."""
+        if self.ready is None:
+            self.ready = np.log((self.counts[:, 1] + PRIOR) / (self.counts[:, 0] + PRIOR)), self.counts.sum(axis=1)
+        return self.ready
+
     def inputs(self, events: Events, at, node, own=None):
         """(logits of all predictors, gate); ``own`` is a bit whose one occurrence is left out."""
         logits, seen = [], []
         if own is None:
-            if self.ready is None:
-                self.ready = np.log((self.counts[:, 1] + PRIOR) / (self.counts[:, 0] + PRIOR)), self.counts.sum(axis=1)
+            logit, total = self.final()
             slots = events.slots(at, node)
-            return np.stack([self.ready[0][s] for s in slots], axis=1), gate_of(self.ready[1][slots[4]], self.ready[1][slots[3]])
+            return np.stack([logit[s] for s in slots], axis=1), gate_of(total[slots[4]], total[slots[3]])
         for slot in events.slots(at, node):
             n = self.counts[slot]
             n1, n0 = np.maximum(n[:, 1] - own, 0), np.maximum(n[:, 0] - (1 - own), 0)
@@ -306,6 +316,16 @@ class Mixer:
     def mixed(self, logits, gate):
         return np.clip(np.einsum("ij,ij->i", logits, self.weights[gate]), -12, 12)
 
+    def dot(self, events: Events, at, node):
+        """Mixed logits from the final counts, without a matrix of all predictors."""
+        logit, seen = self.final()
+        slots = events.slots(at, node)
+        gate = gate_of(seen[slots[4]], seen[slots[3]])
+        total = np.zeros(len(gate))
+        for k, s in enumerate(slots):
+            total += logit[s] * self.weights[:, k][gate]
+        return np.clip(total, -12, 12)
+
     def refined(self, dot, place):
         p = 1.0 / (1.0 + np.exp(-dot))
         if self.refine is None:
@@ -322,7 +342,7 @@ class Mixer:
         """log10 probability of every token."""
         out = np.zeros(len(events.byte))
         for at, node, bit in self.steps(events):
-            p = self.refined(self.mixed(*self.inputs(events, at, node)), events.place[at])
+            p = self.refined(self.dot(events, at, node), events.place[at])
             out[at] += np.log10(np.clip(np.where(bit > 0, p, 1 - p), 1e-9, 1.0))
         return np.bincount(events.owner, weights=out, minlength=n)
 

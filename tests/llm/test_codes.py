@@ -227,3 +227,14 @@ def test_damaged_files_are_refused(spark, tmp_path):
         f.write(b"\0\0\0\0")
     with pytest.raises(Exception, match="differ in length"):
         shards.scan(spark, folder).collect()
+
+
+def test_mixed_logits_without_a_matrix_of_predictors():
+    from measurelens.llm import lm
+
+    draw = np.random.default_rng(3)
+    mixer = lm.Mixer(lm.huffman(draw.integers(1, 999, 256)), draw.integers(0, 50, (lm.ALL_SLOTS, 2)), draw.normal(0.3, 0.1, (lm.GATES, len(lm.SLOTS))))
+    sizes = draw.integers(1, 9, 300)
+    events = lm.Events(*lm.spelled(draw.integers(97, 122, int(sizes.sum())).astype(np.uint8), sizes, np.arange(300)), np.arange(300) % 8)
+    for at, node, _ in mixer.steps(events):
+        assert np.allclose(mixer.dot(events, at, node), mixer.mixed(*mixer.inputs(events, at, node)), rtol=0, atol=1e-12)
