@@ -3,14 +3,16 @@
 A text is its lower-cased words and one end; a word is spelled as its bytes and a
 space, the end as a line feed, so the model is a distribution over token
 sequences.  Bytes are coded as bits along a Huffman tree of the training bytes.
-Every bit has several predictors, one per hashed context (the last accented letter
-before the word, last bytes, the word so far); their logits are mixed with weights chosen by how
+Every bit has several predictors, one per hashed context: the last one, two, three
+and five bytes of the text, across the edge of a word, the word so far, and the word
+so far after the word before it.  Their logits are mixed with weights chosen by how
 much the contexts have seen, learned by online logistic regression, and the result
 is refined by an adaptive map of probability and place in the word.
 
-All training texts count: words travel to the task of their code range as a
-dictionary per slab of texts with short indexes, so one shuffle serves the base
-counts, the vocabulary and the scores.  The tables that are broadcast have a fixed
+All training texts count.  A token's contexts end at the word before it, so equal
+pairs of words within a slab of texts are learned and scored once, with their
+number as weight.  For the base, words travel to the task of their code range as a
+dictionary per slab with short indexes.  The tables that are broadcast have a fixed
 number of slots.  A predictor's own occurrence is left out while the mixing
 weights are learned.  Words are told apart by 64-bit code.
 
@@ -24,7 +26,6 @@ import heapq
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -36,8 +37,10 @@ from measurelens.operators.common import settle
 
 ADD = 0.1  # to every count of the base
 SLAB = 12_000_000  # bytes of text that share one dictionary
-SLOTS = (12, 16, 18, 20, 20, 20)  # bits of the table of each context
+SLOTS = (16, 18, 20, 20, 20, 20)  # bits of the table of each context
 CHUNK = 1 << 17  # slots that travel in one row
+SPLITS = 16  # of the input that share one table of counts, on inputs of many splits
+PIECE = 10_000  # pairs of words that are worked on at once
 PRIOR = 0.4
 RATE = 0.05
 GATES = 8 * 4
@@ -46,22 +49,12 @@ END = 0x0A
 
 
 class Tokens:
-    """Word codes, spans and the kind of context before each word (0 to 7), for one column of texts."""
+    """Word codes and spans of one column of texts."""
 
     def __init__(self, col: pa.Array):
         w = Words(col, SPACED)
         self.words, self.count = w, w.count
         self.codes = w.codes()
-        # the letter beyond ASCII that was seen last tells languages apart; 0 before the first of a text
-        at = np.maximum.accumulate(np.where(w.data >= 0xC0, np.arange(len(w.data)), -1)) if len(w.data) else np.zeros(0, np.int64)
-
-        def kind(place, begin):
-            seen = at[np.maximum(place, 0)]
-            lead, then = w.data[np.maximum(seen, 0)].astype(np.int64), w.data[np.minimum(np.maximum(seen, 0) + 1, max(len(w.data) - 1, 0))]
-            return np.where((place >= begin) & (seen >= begin), 1 + (lead * 64 + then) % 7, 0).astype(np.uint8)
-
-        self.kind = kind(w.starts - 1, np.repeat(w.offsets[:-1], w.count))
-        self.end_kind = kind(w.offsets[1:] - 1, w.offsets[:-1])
 
 
 def dictionary(tokens: list[Tokens]):
@@ -91,7 +84,7 @@ PARTS = T.StructType(
         T.StructField("codes", T.BinaryType()),  # of the dictionary's words in this range
         T.StructField("body", T.BinaryType()),
         T.StructField("sizes", T.BinaryType()),
-        T.StructField("uses", T.BinaryType()),  # word index * 8 + kind, of training tokens
+        T.StructField("uses", T.BinaryType()),  # word index of training tokens
         T.StructField("times", T.BinaryType()),
         T.StructField("texts", T.BinaryType()),  # how many entries each text has here
         T.StructField("entries", T.BinaryType()),  # word index of every token
@@ -101,7 +94,7 @@ PARTS = T.StructType(
 
 def dealt(rows: DataFrame, ranges: int) -> DataFrame:
     """One row per slab and code range, and a row per slab with the ids (as range of the slab's own)."""
-    head = T.StructType([*PARTS, T.StructField("id", T.ArrayType(rows.schema["_id"].dataType)), *[T.StructField(c, T.BinaryType()) for c in ("hash", "train", "kinds")]])
+    head = T.StructType([*PARTS, T.StructField("id", T.ArrayType(rows.schema["_id"].dataType)), *[T.StructField(c, T.BinaryType()) for c in ("hash", "train")]])
     names = head.fieldNames()
 
     def run(batches):
@@ -112,11 +105,9 @@ def dealt(rows: DataFrame, ranges: int) -> DataFrame:
             train = np.concatenate([p.column(2).to_numpy(zero_copy_only=False) for p in slab]).astype(np.bool_)
             hashes = np.concatenate([p.column(3).to_numpy() for p in slab])
             count = np.concatenate([t.count for t in tokens])
-            end_kind = np.concatenate([t.end_kind for t in tokens])
             ids = pa.concat_arrays([p.column(1) for p in slab])
             n = len(count)
             codes, index, body, sizes = dictionary(tokens)
-            kind = np.concatenate([t.kind for t in tokens])
             text = np.repeat(np.arange(n), count)
             cell = ((codes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)  # codes are sorted, so ranges are stretches
             cuts = np.searchsorted(cell, np.arange(ranges + 1))
@@ -126,7 +117,7 @@ def dealt(rows: DataFrame, ranges: int) -> DataFrame:
             word_cuts = np.searchsorted(word_cell[order], np.arange(ranges + 1))
             empty = pa.array([None], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([slab_id % ranges], pa.int32()), pa.array([slab_id]), *[empty] * 7, pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids), pa.array([hashes.tobytes()]), pa.array([train.tobytes()]), pa.array([end_kind.tobytes()])],
+                [pa.array([slab_id % ranges], pa.int32()), pa.array([slab_id]), *[empty] * 7, pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids), pa.array([hashes.tobytes()]), pa.array([train.tobytes()])],
                 names,
             )
             for r in range(ranges):
@@ -135,24 +126,24 @@ def dealt(rows: DataFrame, ranges: int) -> DataFrame:
                     continue
                 a, b = cuts[r], cuts[r + 1]
                 entry = index[mine] - a
-                used, times = np.unique((entry * 8 + kind[mine])[train[text[mine]]], return_counts=True)
+                used, times = np.unique(entry[train[text[mine]]], return_counts=True)
                 small = np.uint16 if b - a <= 1 << 16 else np.uint32
                 values = [codes[a:b], body[body_at[a] : body_at[b]], sizes[a:b].astype(np.uint32), used.astype(np.uint32), times.astype(np.uint32), np.bincount(text[mine], minlength=n).astype(np.uint32), entry.astype(small)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r], pa.int32()), pa.array([slab_id]), *[pa.array([v.tobytes()], pa.binary()) for v in values], pa.nulls(1, pa.list_(ids.type)), *[empty] * 3], names
+                    [pa.array([r], pa.int32()), pa.array([slab_id]), *[pa.array([v.tobytes()], pa.binary()) for v in values], pa.nulls(1, pa.list_(ids.type)), *[empty] * 2], names
                 )
 
     return rows.select("_text", "_id", "_train", "_hash").mapInArrow(run, head)
 
 
 def reduced(parts: DataFrame) -> DataFrame:
-    """Per code range: sums for every text of every slab, the vocabulary, and its totals; slab heads pass through."""
+    """Per code range: sums for every text of every slab, and totals of the vocabulary; slab heads pass through."""
     head = parts.schema
     schema = T.StructType(
         [
             T.StructField("what", T.StringType()),
             T.StructField("slab", T.LongType()),
-            *[T.StructField(c, T.BinaryType()) for c in ("a", "b", "c", "d")],
+            *[T.StructField(c, T.BinaryType()) for c in ("a", "b", "c")],
             head["id"],
         ]
     )
@@ -162,7 +153,7 @@ def reduced(parts: DataFrame) -> DataFrame:
         held, id_type = [], None
 
         def row(what, slab, blobs, ids=None):
-            blobs = [*blobs, *[None] * (4 - len(blobs))]
+            blobs = [*blobs, *[None] * (3 - len(blobs))]
             return pa.RecordBatch.from_arrays([pa.array([what]), pa.array([slab], pa.int64()), *[pa.array([x], pa.binary()) for x in blobs], ids if ids is not None else pa.nulls(1, id_type)], names)
 
         for batch in batches:
@@ -170,17 +161,16 @@ def reduced(parts: DataFrame) -> DataFrame:
             for i, r in enumerate(batch.select(names_in).to_pylist()):
                 if r["codes"] is None:
                     one = batch.slice(i, 1)
-                    yield row("head", r["slab"], [r["hash"], r["train"], r["kinds"]], one.column(9))
+                    yield row("head", r["slab"], [r["hash"], r["train"]], one.column(9))
                 else:
                     held.append({k: np.frombuffer(r[k], t) for k, t in (("codes", np.uint64), ("body", np.uint8), ("sizes", np.uint32), ("uses", np.uint32), ("times", np.uint32), ("texts", np.uint32))} | {"slab": r["slab"], "entries": r["entries"]})
         if not held:
             return
         codes, first = np.unique(np.concatenate([h["codes"] for h in held]), return_index=True)
-        counts = np.zeros(len(codes) * 8, np.int64)
+        total = np.zeros(len(codes), np.int64)
         where = [np.searchsorted(codes, h["codes"]) for h in held]
         for h, w in zip(held, where):
-            np.add.at(counts, w[h["uses"] >> 3] * 8 + (h["uses"] & 7), h["times"].astype(np.int64))
-        total = counts.reshape(-1, 8).sum(axis=1)
+            np.add.at(total, w[h["uses"]], h["times"].astype(np.int64))
         value = np.log10(total + ADD)
         for h, w in zip(held, where):
             entries = np.frombuffer(h["entries"], np.uint16 if len(h["codes"]) <= 1 << 16 else np.uint32)
@@ -188,7 +178,7 @@ def reduced(parts: DataFrame) -> DataFrame:
             word = w[entries]
             n = len(h["texts"])
             yield row("sums", h["slab"], [np.bincount(text, weights=value[word], minlength=n).tobytes(), h["texts"].astype(np.int64).tobytes(), np.bincount(text, weights=total[word] > 0, minlength=n).astype(np.int64).tobytes()])
-        # the vocabulary: distinct trained words and their counts by kind of the token before
+        # the vocabulary: distinct trained words
         size = np.concatenate([h["sizes"] for h in held]).astype(np.int64)
         body = np.concatenate([h["body"] for h in held])
         begin = np.cumsum(size) - size
@@ -198,11 +188,9 @@ def reduced(parts: DataFrame) -> DataFrame:
         weights = np.repeat(total[known], size).astype(float)
         bytes_ = np.bincount(chosen, weights=weights, minlength=256).astype(np.int64)
         bytes_[0x20] += int(total.sum())
-        used = np.flatnonzero(counts.reshape(-1, 8)[known].ravel())
-        yield row("words", 0, [size.astype(np.uint32).tobytes(), chosen.tobytes(), used.astype(np.uint64).tobytes(), counts.reshape(-1, 8)[known].ravel()[used].tobytes()])
         yield row("totals", 0, [np.array([total.sum(), len(known)], np.int64).tobytes(), bytes_.tobytes()])
 
-    names_in = ["slab", "codes", "body", "sizes", "uses", "times", "texts", "entries", "hash", "train", "kinds"]
+    names_in = ["slab", "codes", "body", "sizes", "uses", "times", "texts", "entries", "hash", "train"]
     return parts.mapInArrow(run, schema)
 
 
@@ -226,26 +214,36 @@ def huffman(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Events:
-    """The bytes of spelled tokens with their contexts."""
+    """The bytes of spelled tokens with their contexts.
 
-    def __init__(self, body: np.ndarray, sizes: np.ndarray, kinds: np.ndarray):
+    ``before`` is a code of the word before each token, 0 where the text begins;
+    ``tails`` its last bytes, as ``last_bytes`` packs them.
+    """
+
+    def __init__(self, body: np.ndarray, sizes: np.ndarray, before: np.ndarray, tails: np.ndarray | None = None):
         starts = np.cumsum(sizes) - sizes
         self.owner = np.repeat(np.arange(len(sizes)), sizes)
         self.place = ragged(sizes)
         self.byte = body
-        kind = kinds[self.owner].astype(np.uint64)
-        wide = body.astype(np.uint64)
+        before = before.astype(np.uint64)
+        tails = np.zeros(len(sizes), np.uint64) if tails is None else tails
+        # bytes back from the token's start: the space between, then the end of the word before
+        back = np.where(before != 0, np.uint64(0x21), np.uint64(0)) + (tails << np.uint64(9))
+        wide = body.astype(np.uint64) + np.uint64(1)
         past = []
-        for back in (1, 2, 3):
+        for k in range(1, 6):
             x = np.zeros(len(body), np.uint64)
-            x[back:] = wide[: len(body) - back]
-            past.append(np.where(self.place >= back, x + np.uint64(1), np.uint64(0)))
+            x[k:] = wide[: max(len(body) - k, 0)]
+            cross = np.flatnonzero(self.place < k)
+            x[cross] = (back[self.owner[cross]] >> (9 * (k - 1 - self.place[cross])).astype(np.uint64)) & np.uint64(511)
+            past.append(x)
         prefix = prefix_codes(body)
         so_far = span_codes(prefix, starts[self.owner], starts[self.owner] + self.place)
         near = np.minimum(self.place, 3).astype(np.uint64)
         two = past[0] + (past[1] << np.uint64(9))
         three = two + (past[2] << np.uint64(18))
-        raw_contexts = [kind * np.uint64(4) + near, past[0], two, three, so_far, so_far + kind * np.uint64(0x9E3779B97F4A7C15)]
+        five = three + (past[3] << np.uint64(27)) + (past[4] << np.uint64(36))
+        raw_contexts = [past[0] * np.uint64(4) + near, two, three, five, so_far, so_far + before[self.owner] * np.uint64(0x9E3779B97F4A7C15)]
         self.contexts = [mix(c + np.uint64((i + 1) << 56)) for i, c in enumerate(raw_contexts)]
 
     def slots(self, at: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
@@ -278,9 +276,10 @@ def steps_of(tree, events: Events):
 ALL_SLOTS = sum(1 << b for b in SLOTS)
 
 
-def gate_of(word: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """Set of mixing weights, by how often the word so far and the last three bytes were seen."""
-    return np.minimum(np.log2(word + 1), 7).astype(np.int64) * 4 + np.minimum(np.log2(near + 1) / 3, 3).astype(np.int64)
+def classes(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eight and four classes of how often a context was seen."""
+    size = np.log2(seen + 1)
+    return np.minimum(size, 7).astype(np.uint8), np.minimum(size / 3, 3).astype(np.uint8)
 
 
 class Mixer:
@@ -288,43 +287,57 @@ class Mixer:
 
     def __init__(self, tree, counts: np.ndarray, weights: np.ndarray | None = None, refine: np.ndarray | None = None):
         self.tree = tree
-        self.counts = counts.astype(np.float32)  # [slot, bit]
-        self.ready = None  # logit and total of every slot, once the counts are final
+        self.counts = counts  # [slot, bit]
+        self.ready: dict[bool, tuple] = {}  # logit and classes of every slot, once the counts are final
         self.weights = np.full((GATES, len(SLOTS)), 0.3) if weights is None else weights
         self.refine = refine
 
-    def final(self) -> tuple[np.ndarray, np.ndarray]:
-        """Logit and total of every slot."""
-        if self.ready is None:
-            self.ready = np.log((self.counts[:, 1] + PRIOR) / (self.counts[:, 0] + PRIOR)), self.counts.sum(axis=1)
-        return self.ready
+    def final(self, left_out: bool) -> tuple:
+        """Logit and classes of every slot; where one occurrence of a bit is left out, of every slot and bit."""
+        if left_out not in self.ready:
+            size = len(self.counts) * (2 if left_out else 1)
+            logit, eight, four = self.ready[left_out] = np.empty(size, np.float32), np.empty(size, np.uint8), np.empty(size, np.uint8)
+            for a in range(0, len(self.counts), CHUNK):
+                n = self.counts[a : a + CHUNK].astype(np.float32)
+                less = np.maximum(n - 1, 0)
+                # [slot, bit that is left out]
+                n0, n1 = (np.stack((less[:, 0], n[:, 0]), axis=1), np.stack((n[:, 1], less[:, 1]), axis=1)) if left_out else (n[:, 0], n[:, 1])
+                at = slice(a * size // len(self.counts), a * size // len(self.counts) + n0.size)
+                logit[at] = np.log((n1 + PRIOR) / (n0 + PRIOR)).ravel()
+                eight[at], four[at] = (c.ravel() for c in classes(n0 + n1))
+        return self.ready[left_out]
+
+    def gathered(self, events: Events, at, node, own=None):
+        """(logits of each predictor, gate); ``own`` is a bit whose one occurrence is left out.
+
+        The gate is the set of mixing weights: how often the word so far was seen
+        after the word before, and after any.
+        """
+        logit, eight, four = self.final(own is not None)
+        slots = events.slots(at, node)
+        if own is not None:
+            side = own > 0
+            slots = [s * 2 + side for s in slots]
+        return [np.take(logit, s) for s in slots], np.take(eight, slots[5]).astype(np.int64) * 4 + np.take(four, slots[4])
 
     def inputs(self, events: Events, at, node, own=None):
-        """(logits of all predictors, gate); ``own`` is a bit whose one occurrence is left out."""
-        logits, seen = [], []
-        if own is None:
-            logit, total = self.final()
-            slots = events.slots(at, node)
-            return np.stack([logit[s] for s in slots], axis=1), gate_of(total[slots[4]], total[slots[3]])
-        for slot in events.slots(at, node):
-            n = self.counts[slot]
-            n1, n0 = np.maximum(n[:, 1] - own, 0), np.maximum(n[:, 0] - (1 - own), 0)
-            logits.append(np.log((n1 + PRIOR) / (n0 + PRIOR)))
-            seen.append(n0 + n1)
-        return np.stack(logits, axis=1), gate_of(seen[4], seen[3])
+        """Like ``gathered``, the logits as one matrix."""
+        logits, gate = self.gathered(events, at, node, own)
+        return np.stack(logits, axis=1), gate
 
     def mixed(self, logits, gate):
         return np.clip(np.einsum("ij,ij->i", logits, self.weights[gate]), -12, 12)
 
-    def dot(self, events: Events, at, node):
-        """Mixed logits from the final counts, without a matrix of all predictors."""
-        logit, seen = self.final()
-        slots = events.slots(at, node)
-        gate = gate_of(seen[slots[4]], seen[slots[3]])
+    def blend(self, logits: list, gate):
+        """Mixed logits without a matrix of all predictors."""
         total = np.zeros(len(gate))
-        for k, s in enumerate(slots):
-            total += logit[s] * self.weights[:, k][gate]
-        return np.clip(total, -12, 12)
+        for logit, weight in zip(logits, np.ascontiguousarray(self.weights.T)):
+            total += logit * np.take(weight, gate)
+        return np.clip(total, -12, 12, out=total)
+
+    def dot(self, events: Events, at, node):
+        """Mixed logits from the final counts."""
+        return self.blend(*self.gathered(events, at, node))
 
     def refined(self, dot, place):
         p = 1.0 / (1.0 + np.exp(-dot))
@@ -361,48 +374,76 @@ def spelled(body: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.
     return np.where(inside, data[np.minimum(at, len(data) - 1)], np.uint8(0x20)), full
 
 
-def vocabulary(batch: pa.RecordBatch):
-    """(Events, times) of rows of trained words, in pieces of moderate size."""
-    for r in batch.to_pylist():
-        size, body = np.frombuffer(r["a"], np.uint32).astype(np.int64), np.frombuffer(r["b"], np.uint8)
-        used, times = np.frombuffer(r["c"], np.uint64).astype(np.int64), np.frombuffer(r["d"], np.int64)
-        for a in range(0, len(used), 10_000):
-            which, kind = used[a : a + 10_000] >> 3, used[a : a + 10_000] & 7
-            yield Events(*spelled(body, size, which), kind), times[a : a + 10_000]
-
-
-def train(words: DataFrame, ends: np.ndarray, freq: np.ndarray) -> Callable[[], Mixer]:
-    """Fit the mixer on vocabulary rows and return how tasks get it; ``ends`` counts the training texts by the kind of context at their end."""
+def last_bytes(body: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The last four bytes of every word, nine bits each and the last one lowest; 0 stands for none."""
+    ends = np.cumsum(sizes)
+    out = np.zeros(len(sizes), np.uint64)
+    for k in range(4):
+        has = np.flatnonzero(sizes > k)
+        out[has] += (body[ends[has] - 1 - k].astype(np.uint64) + np.uint64(1)) << np.uint64(9 * k)
+    return out
+
+
+class Pairs:
+    """Every token of a slab of texts with the word before it, as one number; the end is a token too."""
+
+    def __init__(self, texts: list[pa.Array]):
+        tokens = [Tokens(t) for t in texts]
+        codes, index, self.body, self.sizes = dictionary(tokens)
+        count = np.concatenate([t.count for t in tokens])
+        self.n = len(codes) + 1
+        self.before = np.concatenate((np.zeros(1, np.uint64), codes | np.uint64(1)))  # 0 is the start of a text
+        self.tails = np.concatenate((np.zeros(1, np.uint64), last_bytes(self.body, self.sizes)))
+        self.text = np.repeat(np.arange(len(count)), count)
+        last = np.concatenate((np.zeros(1, np.int64), index + 1))
+        previous = last[:-1].copy()
+        ends = np.cumsum(count)
+        previous[(ends - count)[count > 0]] = 0
+        self.words = index * self.n + previous
+        self.ends = (self.n - 1) * self.n + np.where(count > 0, last[ends], 0)
+        self.bytes = np.bincount(self.text, weights=self.sizes[index] + 1, minlength=len(count)) + 1
+
+    def events(self, keys: np.ndarray) -> Events:
+        which, previous = np.divmod(keys, self.n)
+        return Events(*spelled(self.body, self.sizes, which), self.before[previous], self.tails[previous])
+
+
+def learned(batches):
+    """(Events, times) of the distinct pairs of training texts, in pieces of moderate size."""
+    for slab in slabs(batches, SLAB):
+        pairs = Pairs([p.column(0) for p in slab])
+        used, times = np.unique(np.concatenate((pairs.words, pairs.ends)), return_counts=True)
+        for a in range(0, len(used), PIECE):
+            yield pairs.events(used[a : a + PIECE]), times[a : a + PIECE]
+
+
+def train(texts: DataFrame, freq: np.ndarray) -> Callable[[], Mixer]:
+    """Fit the mixer on the column ``_text`` and return how tasks get it."""
+    spark = texts.sparkSession
     tree = huffman(freq)
-    end_events = Events(*spelled(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(8, np.int64)), np.arange(8))
     chunks = -(-ALL_SLOTS // CHUNK)
     schema = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("n", T.BinaryType())])
 
     def tabled(batches):
         counts = None
-        for batch in batches:
-            for events, times in vocabulary(batch):
-                counts = np.zeros(chunks * CHUNK * 2) if counts is None else counts
-                steps = [(at, node, bit, times[events.owner[at]].astype(float)) for at, node, bit in steps_of(tree, events)]
-                slots = [[] for _ in SLOTS]
-                for at, node, bit, w in steps:
-                    for i, s in enumerate(events.slots(at, node)):
-                        slots[i].append(s * 2 + (bit > 0))
-                weights = np.concatenate([s[3] for s in steps])
-                for s in slots:
-                    np.add.at(counts, np.concatenate(s), weights)
+        for events, times in learned(batches):
+            counts = np.zeros(chunks * CHUNK * 2, np.uint32) if counts is None else counts
+            for at, node, bit in steps_of(tree, events):
+                weight, side = times[events.owner[at]].astype(np.uint32), bit > 0
+                for s in events.slots(at, node):
+                    np.add.at(counts, s * 2 + side, weight)
         for c in range(chunks if counts is not None else 0):
             part = counts[c * CHUNK * 2 : (c + 1) * CHUNK * 2]
             if part.any():
                 filled = np.flatnonzero(part)
-                packed = np.stack((filled, part[filled].astype(np.int64)))
+                packed = np.stack((filled.astype(np.uint32), part[filled]))
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([packed.tobytes()])], ["chunk", "n"])
 
     def summed(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, n in zip(batch.column(0).to_pylist(), batch.column(1)):
-                at, value = np.frombuffer(n.as_buffer(), np.int64).reshape(2, -1)
+                at, value = np.frombuffer(n.as_buffer(), np.uint32).reshape(2, -1)
                 held.setdefault(c, np.zeros(CHUNK * 2))[at] += value
         for c, n in held.items():
             filled = np.flatnonzero(n)
@@ -410,88 +451,75 @@ def train(words: DataFrame, ends: np.ndarray, freq: np.ndarray) -> Callable[[],
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([packed.tobytes()])], ["chunk", "n"])
 
     counts = np.zeros((chunks * CHUNK, 2), np.float32)
-    total = words.mapInArrow(tabled, schema).repartitionById(chunks, F.col("chunk")).mapInArrow(summed, schema)
+    # every task sends a table, so few tasks make them
+    tables_made = max(spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // SPLITS)
+    total = texts.coalesce(tables_made).mapInArrow(tabled, schema).repartitionById(chunks, F.col("chunk")).mapInArrow(summed, schema)
     for r in total.toLocalIterator():  # a fixed number of chunks
         at, value = np.frombuffer(r.n, np.float32).reshape(2, -1)
         counts.reshape(-1)[at.copy().view(np.uint32).astype(np.int64) + r.chunk * CHUNK * 2] = value
-    for at, node, bit in steps_of(tree, end_events):
-        for slot in end_events.slots(at, node):
-            np.add.at(counts, (slot, (bit > 0).astype(np.int64)), ends[end_events.owner[at]].astype(np.float32))
     # half precision: large counts shrink in proportion
     counts *= np.minimum(1.0, 60_000 / np.maximum(counts.max(axis=1, keepdims=True), 1)).astype(np.float32)
-    tables = share(words.sparkSession, (tree, counts.astype(np.float16)))
-    sums = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("n", T.DoubleType())])
+    tables = share(spark, (tree, counts.astype(np.float16)))
+    sums = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("h", T.BinaryType()), T.StructField("n", T.DoubleType())])
 
     def weigh(batches):
-        mixer = Mixer(*tables())
-        seen, energy = 0.0, np.full(mixer.weights.shape, 1e-3)
-        for batch in batches:
-            for events, times in vocabulary(batch):
-                for at, node, bit in mixer.steps(events):
-                    for a in range(0, len(at), 8192):
-                        i, b = at[a : a + 8192], bit[a : a + 8192]
-                        logits, gate = mixer.inputs(events, i, node[a : a + 8192], b)
-                        w = times[events.owner[i]].astype(float)
-                        error = (b - 1.0 / (1.0 + np.exp(-mixer.mixed(logits, gate)))) * w
-                        mass = np.maximum(np.bincount(gate, weights=w, minlength=GATES), 1.0)[:, None]
-                        step = np.stack([np.bincount(gate, weights=error * logits[:, k], minlength=GATES) for k in range(len(SLOTS))], axis=1) / mass
-                        energy += step**2
-                        mixer.weights = np.clip(mixer.weights + RATE * step / np.sqrt(energy), -2, 4)
-                        seen += w.sum()
-        yield pa.RecordBatch.from_arrays([pa.array([(mixer.weights * seen).tobytes()]), pa.array([seen])], ["a", "n"])
-
-    parts = words.mapInArrow(weigh, sums).collect()  # one small matrix per partition
-    mass = sum(p.n for p in parts)
-    weights = sum(np.frombuffer(p.a).reshape(GATES, -1) for p in parts) / mass if mass else None
-    refined = share(words.sparkSession, weights)
-
-    def adapt(batches):
-        mixer = Mixer(*tables(), refined())
-        hist = np.zeros(PLACES * KNOTS * 2)
-        for batch in batches:
-            for events, times in vocabulary(batch):
-                for at, node, bit in mixer.steps(events):
-                    dot = mixer.mixed(*mixer.inputs(events, at, node, bit))
+        mixer = None
+        seen, hist = 0.0, np.zeros(PLACES * KNOTS * 2)
+        for events, times in learned(batches):
+            if mixer is None:
+                mixer = Mixer(*tables())
+                energy = np.full(mixer.weights.shape, 1e-3)
+            for at, node, bit in mixer.steps(events):
+                for a in range(0, len(at), 8192):
+                    i, b = at[a : a + 8192], bit[a : a + 8192]
+                    logits, gate = mixer.gathered(events, i, node[a : a + 8192], b)
+                    w = times[events.owner[i]].astype(float)
+                    dot = mixer.blend(logits, gate)
+                    # the refining map learns from what the weights gave before this step
                     knot = np.rint((dot + 12) / 24 * (KNOTS - 1)).astype(np.int64)
-                    cell = (np.minimum(events.place[at], PLACES - 1) * KNOTS + knot) * 2 + (bit > 0)
-                    hist += np.bincount(cell, weights=times[events.owner[at]].astype(float), minlength=len(hist))
-        yield pa.RecordBatch.from_arrays([pa.array([hist.tobytes()]), pa.array([0.0])], ["a", "n"])
-
-    refine = None
-    if mass:
-        hist = sum(np.frombuffer(p.a) for p in words.mapInArrow(adapt, sums).collect()).reshape(PLACES, KNOTS, 2)
+                    hist += np.bincount((np.minimum(events.place[i], PLACES - 1) * KNOTS + knot) * 2 + (b > 0), weights=w, minlength=len(hist))
+                    error = (b - 1.0 / (1.0 + np.exp(-dot))) * w
+                    mass = np.maximum(np.bincount(gate, weights=w, minlength=GATES), 1.0)[:, None]
+                    step = np.stack([np.bincount(gate, weights=error * logit, minlength=GATES) for logit in logits], axis=1) / mass
+                    energy += step**2
+                    mixer.weights = np.clip(mixer.weights + RATE * step / np.sqrt(energy), -2, 4)
+                    seen += w.sum()
+        if mixer is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([(mixer.weights * seen).tobytes()]), pa.array([hist.tobytes()]), pa.array([seen])], ["a", "h", "n"])
+
+    weights = refine = None
+    parts = texts.mapInArrow(weigh, sums).collect()  # two small matrices per partition
+    if parts:
+        weights = sum(np.frombuffer(p.a).reshape(GATES, -1) for p in parts) / sum(p.n for p in parts)
+        hist = sum(np.frombuffer(p.h) for p in parts).reshape(PLACES, KNOTS, 2)
         knots = 1.0 / (1.0 + np.exp(-np.linspace(-12, 12, KNOTS)))
         refine = (hist[:, :, 1] + 20 * knots) / (hist.sum(axis=2) + 20)
     return lambda: Mixer(*tables(), weights, refine)  # the tables are already there
 
 
 def model_scores(rows: DataFrame, fetch: Callable[[], Mixer]) -> DataFrame:
-    """(_id, _hash, score) per text."""
-    schema = T.StructType([rows.schema["_id"], rows.schema["_hash"], T.StructField("score", T.DoubleType())])
+    """(_id, _hash, score, bits_per_byte) per text."""
+    schema = T.StructType([rows.schema["_id"], rows.schema["_hash"], T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
 
     def run(batches):
         mixer = None
         for slab in slabs(batches, SLAB):
             mixer = mixer or fetch()
-            tokens = [Tokens(p.column(0)) for p in slab]
-            _, index, body, sizes = dictionary(tokens)
-            n = len(sizes)
-            kind = np.concatenate([t.kind for t in tokens]).astype(np.int64)
-            pair = np.concatenate((index * 8 + kind, n * 8 + np.arange(8)))
-            used, where = np.unique(pair, return_inverse=True)
+            pairs = Pairs([p.column(0) for p in slab])
+            used, where = np.unique(np.concatenate((pairs.words, pairs.ends)), return_inverse=True)
             value = np.zeros(len(used))
-            for a in range(0, len(used), 10_000):
-                part = used[a : a + 10_000]
-                events = Events(*spelled(body, sizes, part >> 3), part & 7)
-                value[a : a + 10_000] = mixer.log10(events, len(part))
-            ends = value[np.searchsorted(used, n * 8 + np.arange(8))]
+            for a in range(0, len(used), PIECE):
+                part = used[a : a + PIECE]
+                value[a : a + PIECE] = mixer.log10(pairs.events(part), len(part))
+            value = value[where]
+            n = len(pairs.words)
+            total = np.bincount(pairs.text, weights=value[:n], minlength=len(pairs.ends)) + value[n:]
+            ratio = -total / np.log10(2) / pairs.bytes
             done = 0
-            for p, t in zip(slab, tokens):
-                m = len(t.codes)
-                word = value[where[done : done + m]]
-                total = np.bincount(t.words.text_of_word(), weights=word, minlength=p.num_rows) + ends[t.end_kind]
+            for p in slab:
+                m = p.num_rows
+                yield pa.RecordBatch.from_arrays([p.column(1), p.column(2), pa.array(total[done : done + m]), pa.array(ratio[done : done + m])], schema.fieldNames())
                 done += m
-                yield pa.RecordBatch.from_arrays([p.column(1), p.column(2), pa.array(total)], schema.fieldNames())
 
     return rows.select("_text", "_id", "_hash").mapInArrow(run, schema)
 
@@ -515,7 +543,7 @@ def base_scores(slim: DataFrame, n_train: int, tokens: int, distinct: int) -> Da
         for batch in batches:
             for i, r in enumerate(batch.select(["what", "slab", "a", "b", "c"]).to_pylist()):
                 if r["what"] == "head":
-                    heads[r["slab"]] = (batch.column(6).slice(i, 1).flatten(), np.frombuffer(r["a"], np.int64))
+                    heads[r["slab"]] = (batch.column(5).slice(i, 1).flatten(), np.frombuffer(r["a"], np.int64))
                     continue
                 new = [np.frombuffer(r["a"]), np.frombuffer(r["b"], np.int64), np.frombuffer(r["c"], np.int64)]
                 old = sums.get(r["slab"])
@@ -538,27 +566,19 @@ def score_texts(docs: DataFrame, train_on: Column, *, doc_id: str = "doc_id", te
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = settle(reduced(dealt(rows, ranges).repartitionById(ranges, F.col("range"))))
     totals = slim.where("what = 'totals'").select("a", "b").collect()  # one row per code range
-    heads = slim.where("what = 'head'").select("b", "c")
-
-    @F.pandas_udf("array<long>")
-    def by_kind(train: pd.Series, kind: pd.Series) -> pd.Series:
-        return pd.Series([np.bincount(np.frombuffer(k, np.uint8)[np.frombuffer(t, np.bool_)], minlength=8).tolist() for t, k in zip(train, kind)])
-
-    each = heads.select(by_kind("b", "c").alias("k")).agg(*[F.coalesce(F.sum(F.col("k")[i]), F.lit(0)).alias(f"k{i}") for i in range(8)]).first()
-    ends = np.array([each[i] for i in range(8)], np.int64)
-    n_train = int(ends.sum())
+    n_train = rows.where("_train").count()
     counted = sum((np.frombuffer(t.a, np.int64) for t in totals), np.zeros(2, np.int64))
     freq = sum((np.frombuffer(t.b, np.int64) for t in totals), np.zeros(256, np.int64))
     freq[END] += n_train
     tokens, distinct = int(counted[0]) + n_train, int(counted[1]) + (1 if n_train else 0)
-    mixer = train(slim.where("what = 'words'").select("a", "b", "c", "d"), ends, freq)
+    mixer = train(rows.where("_train").select("_text"), freq)
     base = base_scores(slim, n_train, tokens, distinct).dropDuplicates(["_id", "_hash"])
     scored = model_scores(rows, mixer).withColumnRenamed("_id", "_i").withColumnRenamed("_hash", "_h")
     out = scored.join(base, (F.col("_i").eqNullSafe(F.col("_id"))) & (F.col("_h") == F.col("_hash")))
-    return out.select(F.col("_i").alias(doc_id), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select(F.col("_i").alias(doc_id), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     held = learn_bucket(F.col("doc_id"), 10) == 0
     out = score_texts(documents(spark, sf_dir).select("doc_id", "text"), ~held)
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
