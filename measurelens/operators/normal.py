@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from measurelens.operators.metrics import permuted_labels
+from measurelens.operators.permutation import permuted_values
 
 # Widest table whose p x p systems are solved on the driver (32 MB each).
 MAX_WIDTH = 2048
@@ -176,9 +176,8 @@ def permutation_refits(df: DataFrame, *, row: str, array: str, target: str, fold
     """
     if repeats < 1:
         raise ValueError("need at least one permutation")
-    dealt = permuted_labels(df.select(row, target), row=row, value=target, repeats=repeats, seed=seed)
-    pairs = dealt.groupBy(row).agg(F.sort_array(F.collect_list(F.struct("rep", F.col(target).cast("double").alias("v")))).alias("_p"))
-    rows = df.join(pairs, row).select(F.col(fold).alias("_c"), F.col(array).cast("array<double>").alias("_x"), F.concat(F.array(F.col(target).cast("double")), F.transform("_p", lambda s: s["v"])).alias("_y"))
+    dealt = permuted_values(df.select(row, fold, array, target), row=row, value=target, repeats=repeats, seed=seed)
+    rows = dealt.select(F.col(fold).alias("_c"), F.col(array).cast("array<double>").alias("_x"), F.concat(F.array(F.col(target).cast("double")), "permuted").alias("_y"))
     q2 = cross_validated_q2(moments(rows, array="_x", responses="_y", cell="_c", width=width, n_responses=repeats + 1), penalty)
     return float(q2[0]), [float(x) for x in q2[1:]]
 
