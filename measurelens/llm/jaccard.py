@@ -12,7 +12,9 @@ is lost.
 
 Equal sets are one node.  Sets that share a signature are candidates.  A signature
 shared by few sets gives all pairs; a crowded one first pairs its members with one
-of them, and afterwards only members that are still in different components.  A
+of them, then each member with its closest partners, and afterwards only members
+that are still in different components: these are compared in full block against
+block, and a task tells no more links than unite the components it holds.  A
 candidate whose bucket counts differ by more than similar sets can differ is
 dropped (the difference of counts never exceeds that of the sets); every other one
 is compared in full.
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from measurelens.llm.components import components
-from measurelens.llm.texts import SPACED, Words, documents, map_texts, mix, name_of, pieces, shingle_codes, slabs
+from measurelens.llm.texts import SPACED, Words, documents, map_texts, mix, name_of, pieces, ragged, shingle_codes, slabs
 from measurelens.llm.texts import share as sent
 from measurelens.operators.common import settle
 
@@ -52,6 +54,7 @@ NEAREST = 2
 FEW = 3
 HELD = 500_000  # pairs that a task holds before it hands them on
 SPREAD = 16  # tasks over which the signatures with one first member are dealt
+CODES = 1_000_000  # features of a block of sets that are compared in full where they meet
 CROWD = 8  # members of a signature that are paired at once
 
 _EMPTY = np.zeros(0, np.int64)
@@ -417,97 +420,209 @@ def close_pairs(pairs: DataFrame, counts: DataFrame, share) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def open_pairs(crowded: DataFrame, counts: DataFrame, roots: DataFrame, share, turn: int | None = None) -> DataFrame:
-    """Close pairs of members of a crowded signature that are in different components.
+def in_blocks(members: DataFrame, full: int) -> DataFrame:
+    """The members of groups that hold several components, once per pair of blocks (i, j) that they belong to.
 
-    With ``turn`` only each member's ``NEAREST`` closest partners by bucket counts,
-    in ``FEW`` of its signatures, others at each turn and the same for sets that
-    share them.
-
-    A crowded signature is cut into blocks of about ``BLOCK`` members; a pair of
-    blocks is one piece of work (with j < 0 for those of the largest component).
+    A group is cut into blocks with about ``full`` of the column ``weight``; a pair
+    of blocks is one piece of work (with j < 0 for those of the largest component,
+    whose members need no pairs among themselves).
     """
-    num, den = share
-    members = crowded.select("sig", "a", F.col("b").alias("key"), F.col("size_b").alias("z"))
-    if turn is not None:
-        members = members.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "sig"), "z"))).where(F.col("_n") <= FEW).drop("_n")
-    members = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    # the largest component of a signature needs no pairs of its own: its members meet the others only
-    per = members.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = per.groupBy("sig").agg(F.max(F.struct("n", "root")).alias("t"), F.sum("n").alias("load"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    twofold = lambda c: F.pow(F.lit(2), F.ceil(F.log2(F.greatest(c / BLOCK, F.lit(1))))).cast("int")
-    # written, so that the join deals both sides anew and Spark can split a very crowded signature
-    mixed = settle(mixed.select("sig", F.col("t.root").alias("major"), twofold(F.col("load") - F.col("t.n")).alias("blocks"), twofold(F.col("t.n")).alias("chunks")))
-    members = members.join(mixed, "sig").join(counts.select("key", "counts"), "key")
+    per = members.groupBy("group", "root").agg(F.sum("weight").alias("n"))
+    mixed = per.groupBy("group").agg(F.max(F.struct("n", "root")).alias("t"), F.sum("n").alias("load"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    twofold = lambda c: F.pow(F.lit(2), F.ceil(F.log2(F.greatest(c / full, F.lit(1))))).cast("int")
+    # written, so that the join deals both sides anew and Spark can split a very crowded group
+    mixed = settle(mixed.select("group", F.col("t.root").alias("major"), twofold(F.col("load") - F.col("t.n")).alias("blocks"), twofold(F.col("t.n")).alias("chunks")))
     place = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
     among = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
     across = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.col("own").alias("i"), (-1 - c).alias("j")))
     large = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("i"), (-1 - place(F.col("chunks"))).alias("j")))
-    members = members.withColumn("own", F.when(F.col("root") == F.col("major"), -1).otherwise(place(F.col("blocks"))))
-    members = members.withColumn("u", F.explode(F.when(F.col("own") < 0, large).otherwise(F.concat(among, across))))
-    members = members.select("sig", F.xxhash64("a", F.pmod("sig", F.lit(SPREAD))).alias("near"), "u.i", "u.j", "own", "key", "z", "root", "counts")
-    parts = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # signatures with the same first member hold much the same sets: together, a pair of theirs is told once
-    dealt = members.repartition(parts, "near", "i", "j").drop("near").sortWithinPartitions("sig", "i", "j")
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b")])
+    rows = members.join(mixed, "group").withColumn("own", F.when(F.col("root") == F.col("major"), -1).otherwise(place(F.col("blocks"))))
+    rows = rows.withColumn("u", F.explode(F.when(F.col("own") < 0, large).otherwise(F.concat(among, across))))
+    return rows.select(*members.columns, "own", "u.i", "u.j")
 
-    def work(group: pa.Table):
-        own, key, z, root = (group.column(n).to_numpy() for n in ("own", "key", "z", "root"))
-        one_block = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        size, up = np.abs(z).astype(np.int64), z > 0
-        counts = group.column("counts").to_pylist()
-        widths = np.array([len(c) for c in counts])
-        by_width = {w: np.flatnonzero(widths == w) for w in np.unique(widths)}
-        stacked = {w: unpacked(b"".join(counts[i] for i in at)).reshape(len(at), -1) for w, at in by_width.items()}
-        out_a, out_b = [], []
-        for x in range(len(key)):
-            row = unpacked(counts[x])
-            partners, gaps = [_EMPTY], [_EMPTY]
-            for w, at in by_width.items():
-                fits = ((key[at] > key[x]) if turn is None else True) & (root[at] != root[x]) & (up[at] | up[x]) & (np.minimum(size[at], size[x]) * den >= np.maximum(size[at], size[x]) * num)
-                if not one_block:
-                    fits &= own[at] != own[x]
-                some = np.flatnonzero(fits)
-                if not len(some):
-                    continue
-                gap = least_difference(row, stacked[w][some])
-                close = gap * (den + num) <= (size[at[some]] + size[x]) * (den - num)
-                partners.append(at[some[close]])
-                gaps.append(gap[close])
-            hit = np.concatenate(partners)
-            if turn is not None:
-                hit = hit[np.argsort(np.concatenate(gaps), kind="stable")[:NEAREST]]
-            out_a.append(np.minimum(key[hit], key[x]))
-            out_b.append(np.maximum(key[hit], key[x]))
-        return once([np.stack((np.concatenate(out_a), np.concatenate(out_b)))])
-
-    def once(found):
-        return np.unique(np.concatenate(found, axis=1), axis=1)
-
-    def told(found):
-        for a in range(0, found.shape[1], 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(found[0, a : a + 50_000]), pa.array(found[1, a : a + 50_000])], schema.fieldNames())
+
+def by_piece(work):
+    """For mapInArrow over rows sorted by (group, i, j): ``work`` turns the table of each piece into an array (column, row)."""
 
     def run(batches):
-        rest, found = None, [np.zeros((2, 0), np.int64)]
+        rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = table if rest is None else pa.concat_tables([rest, table])
             table = table.combine_chunks()
-            where = [table.column(n).to_numpy() for n in ("sig", "i", "j")]
+            where = [table.column(n).to_numpy() for n in ("group", "i", "j")]
             new = np.flatnonzero(np.logical_or.reduce([w[1:] != w[:-1] for w in where])) + 1
             cuts = [0, *new.tolist()]
-            found += [work(table.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
+            for a, b in zip(cuts, cuts[1:]):
+                yield work(table.slice(a, b - a))
             rest = table.slice(cuts[-1])
-            found = [once(found)]
-            if found[0].shape[1] > HELD:
-                yield from told(found.pop())
-                found = [np.zeros((2, 0), np.int64)]
         if rest is not None and rest.num_rows:
-            found.append(work(rest.combine_chunks()))
-        yield from told(once(found))
+            yield work(rest.combine_chunks())
+
+    return run
+
+
+def told_once(found, names):
+    """Batches of the distinct columns of the arrays ``found``, of which at most ``HELD`` are held."""
+    held = [np.zeros((len(names), 0), np.int64)]
+
+    def batches():
+        rows = held.pop()
+        for a in range(0, rows.shape[1], 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(r[a : a + 50_000]) for r in rows], names)
+
+    for one in found:
+        held[:] = [np.unique(np.concatenate((*held, one), axis=1), axis=1)]
+        if held[0].shape[1] > HELD:
+            yield from batches()
+            held.append(np.zeros((len(names), 0), np.int64))
+    yield from batches()
+
+
+def with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+class Close:
+    """The partners of a member in other components that sizes and bucket counts do not exclude."""
+
+    def __init__(self, group: pa.Table, share):
+        self.num, self.den = share
+        self.own, self.key, self.size, self.root = (group.column(n).to_numpy() for n in ("own", "key", "size", "root"))
+        self.size = self.size.astype(np.int64)
+        self.one_block = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+        self.counts = group.column("counts").to_pylist()
+        widths = np.array([len(c) for c in self.counts])
+        self.by_width = {w: np.flatnonzero(widths == w) for w in np.unique(widths)}
+        self.stacked = {w: unpacked(b"".join(self.counts[i] for i in at)).reshape(len(at), -1) for w, at in self.by_width.items()}
+
+    def partners(self, x: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(their places, lower bounds of the differences), from the places that ``among`` marks."""
+        num, den, size = self.num, self.den, self.size
+        row = unpacked(self.counts[x])
+        partners, gaps = [_EMPTY], [_EMPTY]
+        for w, at in self.by_width.items():
+            fits = among[at] & (self.root[at] != self.root[x]) & (np.minimum(size[at], size[x]) * den >= np.maximum(size[at], size[x]) * num)
+            if not self.one_block:
+                fits &= self.own[at] != self.own[x]
+            some = np.flatnonzero(fits)
+            if not len(some):
+                continue
+            gap = least_difference(row, self.stacked[w][some])
+            close = gap * (den + num) <= (size[at[some]] + size[x]) * (den - num)
+            partners.append(at[some[close]])
+            gaps.append(gap[close])
+        return np.concatenate(partners), np.concatenate(gaps)
+
+
+def nearest_pairs(crowded: DataFrame, counts: DataFrame, roots: DataFrame, share, turn: int) -> DataFrame:
+    """(a, b): each member's ``NEAREST`` closest partners by bucket counts that are in other components.
+
+    They are sought in ``FEW`` of its crowded signatures, others at each turn and
+    the same for sets that share them.
+    """
+    members = crowded.select(F.col("sig").alias("group"), "a", F.col("b").alias("key"), F.col("size_b").alias("z"), F.abs("size_b").alias("size"), F.lit(1).alias("weight"))
+    members = members.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "group"), "z"))).where(F.col("_n") <= FEW).drop("_n")
+    members = in_blocks(with_roots(members, roots), BLOCK).join(counts.select("key", "counts"), "key")
+    parts = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # signatures with the same first member hold much the same sets: together, a pair of theirs is told once
+    members = members.withColumn("near", F.xxhash64("a", F.pmod("group", F.lit(SPREAD)))).select("near", "group", "i", "j", "own", "key", "z", "size", "root", "counts")
+    dealt = members.repartition(parts, "near", "i", "j").drop("near").sortWithinPartitions("group", "i", "j")
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b")])
+
+    def work(group: pa.Table):
+        near, up = Close(group, share), group.column("z").to_numpy() > 0
+        out_a, out_b = [], []
+        for x, key in enumerate(near.key):
+            hit, gaps = near.partners(x, up if not up[x] else np.ones(len(up), np.bool_))
+            hit = hit[np.argsort(gaps, kind="stable")[:NEAREST]]
+            out_a.append(np.minimum(near.key[hit], key))
+            out_b.append(np.maximum(near.key[hit], key))
+        return np.stack((np.concatenate(out_a), np.concatenate(out_b)))
 
-    return dealt.mapInArrow(run, schema).distinct()
+    return dealt.mapInArrow(lambda batches: told_once(by_piece(work)(batches), schema.fieldNames()), schema).distinct()
+
+
+def open_members(crowded: DataFrame, counts: DataFrame, roots: DataFrame, share) -> DataFrame:
+    """(group, key, root, size): members with a close partner in another component.
+
+    Signatures of several components that have the same first member are one
+    group, so a set is there once, however many of them it has.  No pair leaves a
+    task, only the members that have one.
+    """
+    members = with_roots(crowded.select("sig", "a", F.col("b").alias("key"), F.abs("size_b").alias("size")), roots)
+    # written, so that the join below deals both sides anew
+    mixed = settle(members.groupBy("sig").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l <> _h").select("sig"))
+    members = members.join(mixed, "sig").select(F.col("a").alias("group"), "key", "root", "size", F.lit(1).alias("weight")).distinct()
+    members = in_blocks(members, BLOCK).join(counts.select("key", "counts"), "key").select("group", "i", "j", "own", "key", "size", "root", "counts")
+    parts = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j")
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("group", "key", "root", "size")])
+
+    def work(table: pa.Table):
+        near = Close(table, share)
+        found = np.zeros(len(near.key), np.bool_)
+        # pairs are symmetric: in one block the later ones, else the block with fewer members meets the other
+        few = near.own == min(np.unique(near.own), key=lambda o: (near.own == o).sum())
+        later = np.ones(len(found), np.bool_)
+        for x in range(len(found)) if near.one_block else np.flatnonzero(few):
+            later[x] = not near.one_block
+            among = later & ~found if found[x] else later
+            if not among.any():
+                continue
+            hit, _ = near.partners(x, among)
+            found[hit] = True
+            found[x] |= len(hit) > 0
+        group = np.full(int(found.sum()), table.column("group")[0].as_py(), np.int64)
+        return np.stack((group, near.key[found], near.root[found], near.size[found]))
+
+    return dealt.mapInArrow(lambda batches: told_once(by_piece(work)(batches), schema.fieldNames()), schema).distinct()
+
+
+def joining_links(members: DataFrame, sets: DataFrame, share) -> DataFrame:
+    """(a, b): links between ``members`` of a group, as many as join what belongs together and no more.
+
+    Members are compared in full where they meet; a link unites their components,
+    so a piece gives fewer links than it has components, and nothing is kept of
+    pairs that are not similar.
+    """
+    num, den = share
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = in_blocks(members.withColumn("weight", F.greatest("size", F.lit(CODES // BLOCK))), CODES).join(sets, "key").select("group", "i", "j", "own", "key", "root", "codes")
+    dealt = rows.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j", "key")
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b")])
+
+    def work(table: pa.Table):
+        own, key, root = (table.column(n).to_numpy().copy() for n in ("own", "key", "root"))
+        one_block = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        lists = table.column("codes").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        who = np.repeat(np.arange(len(key)), size)
+        code = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1].ravel()
+        order = np.argsort(code, kind="stable")
+        holders, start = who[order], np.concatenate(([0], np.cumsum(np.bincount(code))))
+        base = np.concatenate(([0], np.cumsum(size)))
+        few = own == min(np.unique(own), key=lambda o: (own == o).sum())
+        out_a, out_b = [], []
+        for x in range(len(key)) if one_block else np.flatnonzero(few):
+            fits = (root != root[x]) & (np.minimum(size, size[x]) * den >= np.maximum(size, size[x]) * num)
+            if one_block:
+                fits[:x] = False
+            else:
+                fits &= own != own[x]
+            if not fits.any():
+                continue
+            mine = code[base[x] : base[x + 1]]
+            count = start[mine + 1] - start[mine]
+            common = np.bincount(holders[np.repeat(start[mine], count) + ragged(count)], minlength=len(key))
+            for y in np.flatnonzero(fits & (common * den >= (size + size[x] - common) * num)):
+                if root[y] != root[x]:
+                    root[root == root[y]] = root[x]
+                    out_a.append(min(key[x], key[y]))
+                    out_b.append(max(key[x], key[y]))
+        return np.array([out_a, out_b], np.int64).reshape(2, -1)
+
+    return dealt.mapInArrow(lambda batches: told_once(by_piece(work)(batches), schema.fieldNames()), schema).distinct()
 
 
 def swept(spark) -> None:
@@ -529,22 +644,29 @@ def similar_links(rows: DataFrame, seen: DataFrame, *, width: int = WIDTH, share
     counts = settle(seen.where("code is null and n > 0").groupBy("key").agg(F.min(F.struct(F.isnull("_id").alias("_no_id"), "_id", "n", "counts")).alias("r")).select("key", "r._id", "r.n", "r.counts"))
     similar = F.col("common") * den >= (F.col("size_a") + F.col("size_b") - F.col("common")) * num
 
+    def loaded(keys: DataFrame) -> DataFrame:
+        wanted = settle(counts.join(keys.distinct(), "key", "left_semi").select("key", "_id"))
+        return settle(load_sets(rows, wanted, width))
+
     def linked(pairs: DataFrame) -> DataFrame:
-        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        wanted = settle(counts.join(keys, "key", "left_semi").select("key", "_id"))
-        sets = settle(load_sets(rows, wanted, width))
+        sets = loaded(pairs.select(F.explode(F.array("a", "b")).alias("key")))
         return settle(compare(pairs, sets).where(similar).select("a", "b").distinct())
 
     links = linked(settle(close_pairs(met.where("sig is null").select("a", "b").distinct(), counts, share)))
     swept(spark)
     crowded = met.where("sig is not null")
     # first the closest partners, which as a rule joins all that belongs together, then whatever is still open
-    for turn in (0, 1, None):
-        rest = settle(open_pairs(crowded, counts, components(links), share, turn))
+    for turn in (0, 1):
+        rest = settle(nearest_pairs(crowded, counts, components(links), share, turn))
         if rest.isEmpty():
             continue
         links = links.unionByName(linked(rest))
         swept(spark)
+    rest = settle(open_members(crowded, counts, components(links), share))
+    if not rest.isEmpty():
+        # copies of a set are one; texts with equal ids may bring sets that were not asked for
+        links = links.unionByName(settle(joining_links(rest, loaded(rest.select("key")).dropDuplicates(["key"]), share)))
+        swept(spark)
     return links
 
 
