@@ -9,9 +9,10 @@ What is left is visited in two steps, the few closest cells before all others, s
 bound has tightened before the farther ones are asked.  Every bound is safe: nothing
 nearer is missed, and results do not depend on the pivots.
 
-A cell of any size is divided into blocks and the queries that visit it into chunks;
-block meets chunk, so neither copies of one vector nor a crowd of queries make a hot
-task.  Distances of a block are found as matrix products and then confirmed one by one,
+Neighbouring cells are packed into bins of about one block of rows, and a query goes
+to a bin once, with the list of the cells it visits there.  A bin of any size is divided
+into blocks and the queries that visit it into chunks; block meets chunk, so neither
+copies of one vector nor a crowd of queries make a hot task.  Distances of a block are found as matrix products and then confirmed one by one,
 so equal vectors have equal distances.  Ties go to the smaller id.
 
 Values must be finite and of one width; anything else is an error.
@@ -32,7 +33,7 @@ from measurelens.operators.normal import matrix
 # Most pivots; with their radii they are the only broadcast (8 bytes x width each).
 PIVOTS = 1024
 # Reference rows of a block, and queries of a chunk: their distances are one matrix.
-BLOCK = 2048
+BLOCK = 8192
 # Cells that are visited before the bound is tightened for the last time.
 CLOSE = 4
 # Queries that are looked at together, and (query, row) or (query, cell) pairs whose vectors lie in memory at once.
@@ -78,6 +79,16 @@ class Cells:
         query, at = np.nonzero(turn)
         return query, order[query, at]
 
+    def bins(self) -> np.ndarray:
+        """Bin of every cell: cells that follow each other along the pivots' widest direction share one, up to about ``BLOCK`` rows."""
+        if len(self.pivots) < 2:
+            return np.zeros(len(self.pivots), np.int64)
+        middle = self.pivots - self.pivots.mean(axis=0)
+        order = np.argsort(middle @ np.linalg.eigh(middle.T @ middle)[1][:, -1], kind="stable")
+        out = np.empty(len(order), np.int64)
+        out[order] = np.unique((np.cumsum(self.count[order]) - self.count[order]) // BLOCK, return_inverse=True)[1]
+        return out
+
 
 def _pivots(reference: DataFrame, width: int) -> np.ndarray:
     n = reference.count()
@@ -115,17 +126,23 @@ def _exact(queries: np.ndarray, rows: np.ndarray, q: np.ndarray, r: np.ndarray)
     return out
 
 
-def _best(queries: np.ndarray, bound: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, distance) of up to k rows per query within its bound, by distance and then id."""
+def _best(queries: np.ndarray, bound: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, visits: np.ndarray | None = None, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of up to k rows per query within its bound, by distance and then id.
+
+    With ``visits`` [query, cell] only rows whose cell ``home`` the query visits.
+    """
     k = min(k, len(rows))
     longest, out = (rows * rows).sum(1).max(), []
     # rows at the same distance are candidates all of them, so their number per query has no bound but the block
     for first in range(0, len(queries), SLICE):
         x, limits = queries[first : first + SLICE], bound[first : first + SLICE]
         about = squares(x, rows)
+        asked = True if visits is None else visits[first : first + SLICE][:, home]
+        if visits is not None:
+            about[~asked] = np.inf
         limit = np.minimum(np.partition(about, k - 1, axis=1)[:, k - 1], np.where(np.isfinite(limits), limits * limits, np.inf))
         size = (x * x).sum(1)[:, None] + longest
-        q, r = np.nonzero(about <= limit[:, None] * (1 + 1e-9) + 1e-9 * (1 + size))
+        q, r = np.nonzero((about <= limit[:, None] * (1 + 1e-9) + 1e-9 * (1 + size)) & asked)
         exact = _exact(x, rows, q, r)
         by = np.lexsort((ids[r], exact, q))
         q, r, exact = q[by], r[by], exact[by]
@@ -147,16 +164,31 @@ def _routes(cells: Cells, batch: pa.RecordBatch, width: int, k: int, step: int,
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cell[at : at + PAIRS], pa.int32())], names)
 
 
+def _packed(routed: pa.RecordBatch, bins: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """(_q, _x, bound, bin, cells): the rows of ``_routes`` as one per query and bin."""
+    cell = routed.column(3).to_numpy()
+    q = routed.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+    order = np.lexsort((cell, bins[cell], q))
+    q, cell = q[order], cell[order]
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(q)), np.bool_), (q[1:] != q[:-1]) | (bins[cell[1:]] != bins[cell[:-1]]))))
+    rows = routed.take(pa.array(order[new]))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(q)), pa.int32()), pa.array(cell, pa.int32()))
+    return pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(bins[cell[new]], pa.int32()), lists], names)
+
+
 def _meet(routed: DataFrame, table: DataFrame, cells: Cells, k: int, width: int, out: T.StructType) -> DataFrame:
-    """Every routed query against the blocks of its cell: its k best of each block."""
-    load = {r.cell: r.n for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = [max(1, -(-int(n) // BLOCK)) for n in cells.count]
+    """Every routed query against the blocks of its bin: its k best of each block."""
+    load = {r.bin: r.n for r in routed.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bins = cells.bins()
+    rows = np.bincount(bins, weights=cells.count).astype(np.int64)
+    blocks = [max(1, -(-int(n) // BLOCK)) for n in rows]
     chunks = [max(1, -(-int(load.get(c, 0)) // BLOCK)) for c in range(len(blocks))]
-    pick = lambda numbers: F.get(F.array(*[F.lit(n) for n in numbers]), F.col("cell"))
+    pick = lambda numbers: F.get(F.array(*[F.lit(int(n)) for n in numbers]), F.col("bin"))
     upto = lambda numbers: F.explode(F.sequence(F.lit(0), pick(numbers) - 1))
     asks = routed.select("*", F.pmod(F.xxhash64("_q"), pick(chunks)).cast("int").alias("chunk"), upto(blocks).alias("block"))
-    has = table.where(F.col("cell").isin(sorted(load))) if len(load) < len(blocks) else table
-    has = has.select("*", F.pmod(F.xxhash64("_u"), pick(blocks)).cast("int").alias("block"), upto(chunks).alias("chunk"))
+    has = table.select("_id", "_v", "_x", "_u", "cell", F.get(F.array(*[F.lit(int(n)) for n in bins]), F.col("cell")).alias("bin"))
+    has = has.where(F.col("bin").isin(sorted(load))) if len(load) < len(blocks) else has
+    has = has.select("*", F.pmod(F.xxhash64("_u"), pick(blocks)).cast("int").alias("block"), upto(chunks).alias("chunk")).drop("_u")
     names = out.fieldNames()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -166,14 +198,20 @@ def _meet(routed: DataFrame, table: DataFrame, cells: Cells, k: int, width: int,
         x, y = matrix(whole(left, "_x"), width), matrix(whole(right, "_x"), width)
         ids = whole(right, "_id")
         rank = np.unique(np.array(ids.to_pylist()), return_inverse=True)[1]
-        q, r, d = _best(x, whole(left, "bound").to_numpy(), y, rank, k)
+        here, home = np.unique(whole(right, "cell").to_numpy(), return_inverse=True)
+        asked = whole(left, "cells")
+        cell, query = asked.flatten().to_numpy(), np.repeat(np.arange(len(x)), np.diff(asked.offsets.to_numpy()))
+        at = np.minimum(np.searchsorted(here, cell), len(here) - 1)
+        visits = np.zeros((len(x), len(here)), np.bool_)
+        visits[query[here[at] == cell], at[here[at] == cell]] = True
+        q, r, d = _best(x, whole(left, "bound").to_numpy(), y, rank, k, visits, home)
         take = lambda t, c, at: whole(t, c).take(pa.array(at))
         return pa.Table.from_arrays([take(left, "_q", q), ids.take(pa.array(r)), take(right, "_v", r), pa.array(d)], names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [to_arrow_type(f.dataType) for f in out]
-    keys = ["cell", "block", "chunk"]
+    keys = ["bin", "block", "chunk"]
     return asks.groupBy(*keys).cogroup(has.groupBy(*keys)).applyInArrow(run, out)
 
 
@@ -197,13 +235,15 @@ def nearest(queries: DataFrame, reference: DataFrame, *, query: str, row: str, a
     for step in range(3):
         rows = asked if bounds is None else asked.join(bounds, "_q", "left")
         rows = rows.select("_q", "_x", (F.lit(None).cast("double") if bounds is None else F.col("bound")).alias("bound"))
-        schema = T.StructType([*rows.schema, T.StructField("cell", T.IntegerType())])
+        schema = T.StructType([*rows.schema, T.StructField("bin", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType()))])
         names = schema.fieldNames()
 
         def route(batches, step=step, names=names):
             cells = shared()
+            bins = cells.bins()
             for batch in batches:
-                yield from _routes(cells, batch, width, k, step, names)
+                for routed in _routes(cells, batch, width, k, step, [*names[:3], "cell"]):
+                    yield _packed(routed, bins, names)
 
         routed = settle(rows.mapInArrow(route, schema))
         new = _meet(routed, table, cells, k, width, out)
